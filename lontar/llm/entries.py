@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lontar.llm.multi_index import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lontar.llm.simhash import near_duplicates
 
