@@ -19,6 +19,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lontar.llm.transport import read_back, store
+
+    return read_back(store(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("points")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lontar.llm.quality import fit, held_out, with_score
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = with_score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
