@@ -19,6 +19,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lontar.llm.packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lontar.llm.transport import read_back, store
 
