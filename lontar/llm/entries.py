@@ -7,6 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Key of the registered queries' pseudonyms; a real corpus gets a secret one.
+PSEUDONYM_KEY = "lontar-demonstration-key"
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lontar.llm.pii import with_pseudonyms
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return with_pseudonyms(docs, PSEUDONYM_KEY, count_col="n_replaced")
+
+
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lontar.llm.multi_index import near_vectors
 
