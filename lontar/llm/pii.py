@@ -27,7 +27,7 @@ _SHAPES = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "date": r"[0-9]{4}([\-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([\-/.])[0-9]{2}\2[0-9]{4}",
     "card": r"[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}([ \-])[0-9]{6}\4[0-9]{5}",
-    "phone": r"\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}[.\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}",
+    "phone": r"\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}[.\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}",
 }
 
 
