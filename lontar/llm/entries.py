@@ -24,6 +24,12 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lontar.llm.licenses import scan
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("places")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lontar.llm.simhash import near_duplicates
 
