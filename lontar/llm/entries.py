@@ -7,6 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Target token shares of op1's domains.
+WEIGHTS = {"clean": 0.90, "junk": 0.06, "toxic": 0.04}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lontar.llm.mixing import mix
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    domain = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.select("doc_id", domain.alias("domain")), WEIGHTS)
+
+
 #: Key of the registered queries' pseudonyms; a real corpus gets a secret one.
 PSEUDONYM_KEY = "lontar-demonstration-key"
 
