@@ -38,6 +38,12 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lontar.llm.chaining import repeated_passages
+
+    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lontar.llm.licenses import scan
 
