@@ -1,6 +1,6 @@
 """Mixing to target weights with soft membership, in DataFrame and SQL functions only.
 
-A labelled table gives some documents a domain. A naive Bayes classifier over the presence of their most telling terms turns
+A labelled table gives some documents a domain. A Bernoulli naive Bayes classifier over their most telling terms turns
 every document into domain posteriors p, rounded to 1/``STEPS`` and kept summing to one. Document rates r in [0, most]
 are fitted by projected gradient descent on the least squares sum_k (S_k - T_k)^2 / N_k, where S_k = sum_d r_d n_d p_dk
 are the expected token totals of the domains, T_k their targets and N_k what they are at rate 1. Under token weights
@@ -20,9 +20,9 @@ from lontar.llm.shared import Scratch
 
 #: Labelled documents that the classifier is fitted on at most, and terms of a domain at most.
 SAMPLE = 8000
-TERMS = 64
+TERMS = 96
 #: A domain's terms are this much likelier in its documents than in others, and stand in this share of them.
-LIFT, SPREAD = 3.0, 0.02
+LIFT, SPREAD = 8.0, 0.02
 #: Posteriors are multiples of 1/STEPS.
 STEPS = 64
 ROUNDS = 60
@@ -47,7 +47,7 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[str], list[list[float]], list[float]]:
-    """(terms, the log share of each domain's documents that have them, log share of each domain).
+    """(terms, their log odds by domain, log weight of each domain where none of them occurs).
 
     ``labelled``: doc_id, domain. At most ``sample`` labelled documents, first by a hash of their id, are looked at;
     null ids and domains not in ``domains`` are left out, and of an id with several domains the first by name counts.
@@ -76,8 +76,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
         part = scored.where((F.col("t.k") == k) & (F.col("t.s") > 0)).orderBy(F.desc("t.s"), "term").limit(TERMS).select("term", *[f"n{i}" for i in range(len(domains))])
         best = part if best is None else best.unionByName(part)
     terms = sorted({tuple(r) for r in best.collect()})  # TERMS rows for each domain at most
-    prior = [log((size[d] + 1) / (total + len(domains))) for d in domains]
-    odds = [[log((n + 0.5) / (size[d] + 1)) for n, d in zip(row[1:], domains, strict=True)] for row in terms]
+    odds, prior = [], [log((size[d] + 1) / (total + len(domains))) for d in domains]
+    for row in terms:
+        share = [(n + 0.5) / (size[d] + 1) for n, d in zip(row[1:], domains, strict=True)]
+        share = [min(x, 1 - 1e-6) for x in share]
+        odds.append([log(x / (1 - x)) for x in share])
+        prior = [v + log(1 - x) for v, x in zip(prior, share, strict=True)]
     return [r[0] for r in terms], odds, prior
 
 
@@ -141,7 +145,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     """doc_id, n_tokens, p_<domain>..., rate, copies: one row per row of ``docs``.
 
     copies (long) is the rate rounded up or down by a hash of the id, so that its mean is the rate. A null or empty
-    text has no tokens and the posterior of its one term, how little it repeats itself; null and repeated ids pass through, a row each. A
+    text has no tokens and the posterior of a text without a telling term; null and repeated ids pass through, a row each. A
     domain without a labelled document or without tokens is no target. Other columns are ignored.
     """
     domains = sorted(weights)
