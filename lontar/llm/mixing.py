@@ -16,7 +16,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.shared import Scratch
+from lontar.llm.shared import Scratch, free_name
 
 #: Labelled documents that the classifier is fitted on at most, and terms of a domain at most.
 SAMPLE = 8000
@@ -167,9 +167,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total
     Rows with a null id stay once.
     """
     found = mix(docs, labelled, weights, total, most, id_col, text_col).where("doc_id is not null")
-    times = found.groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(times, F.col(id_col).cast("long") == F.col("_mixed"), "left")
-    kept = joined.where("coalesce(_copies, 1) >= 1")
+    own, copies = free_name(docs, "_mixed"), free_name(docs, "_copies")
+    times = found.groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(copies))
+    joined = docs.join(times, F.col(id_col).cast("long") == F.col(own), "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
+    kept = joined.where(F.col(copies) >= 1)
     if most > 1:
-        kept = kept.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int"))))
-    return kept.drop("_mixed", "_copies")
+        kept = kept.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return kept.drop(own, copies)

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lontar.llm.shared import free_name
+
 ROUNDS = 8
 
 #: What a match is, by the first of these that it matches as a whole.
@@ -177,9 +179,7 @@ def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text", count_col
 
     A null text stays null (count 0), an empty one empty. Other columns stay, whatever their names.
     """
-    private = "_private"
-    while private in docs.columns:
-        private += "_"
+    private = free_name(docs, "_private")
     text = f"`{text_col}`"
     found = f"regexp_extract_all({text}, {_quoted(ANY)}, 0)"
     paired = f"transform({found}, m -> named_struct('was', m, 'is', {pseudonym(key)}))"

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lontar.llm.shared import free_name
+
 #: Labelled rows that the model is fitted on at most, singular vectors kept, neighbours that vote.
 SAMPLE = 6000
 RANK = 64
@@ -154,7 +156,5 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``, columns as they were."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_score")
     return with_score(docs, fit(docs, labels), text_col, name).where(F.col(name) >= threshold).drop(name)

@@ -45,6 +45,14 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column; Spark ignores case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_hot(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
     """Add ``part_i``, ``part_j``: a group of up to ``most`` rows stays whole as (0, 0).
 

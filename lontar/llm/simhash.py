@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.shared import Scratch, connected_components, spanning, split_hot
+from lontar.llm.shared import Scratch, connected_components, free_name, spanning, split_hot
 
 SEED = 42
 LEAF = 32
@@ -190,5 +190,6 @@ def hex16(col: str) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class, columns as they were; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col, distance)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dup")).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("_dup"), "left_anti")
+    copy = free_name(docs, "_copy")
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(drop, F.col(id_col).cast("long") == F.col(copy), "left_anti")
