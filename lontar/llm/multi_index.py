@@ -217,7 +217,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, target: float = 0.995
     # Cells with more entries or visitors than a task should hold: how many chunks of each.
     sizes = placed.select("space", F.col("visits")[0].alias("cell"), F.lit(0).alias("role")).unionAll(placed.select("space", F.explode("visits").alias("cell"), F.lit(1).alias("role")))
     sizes = sizes.groupBy("space", "cell").agg(F.ceil(F.sum(1 - F.col("role")) / MOST).cast("int").alias("ni"), F.ceil(F.sum("role") / MOST).cast("int").alias("nj"))
-    hot = sizes.where("ni > 1 or nj > 1 and ni > 0")
+    hot = scratch.write(sizes.where("ni > 1 or nj > 1 and ni > 0"))
     both = entries.unionByName(visitors).join(hot, ["space", "cell"], "left").withColumn("ni", F.coalesce("ni", F.lit(1))).withColumn("nj", F.coalesce("nj", F.lit(1)))
     chunk = F.pmod(F.xxhash64("rep"), F.when(F.col("role") == 0, F.col("ni")).otherwise(F.col("nj"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("nj")).otherwise(F.col("ni")) - 1))
@@ -230,6 +230,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, target: float = 0.995
     classes = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     reps = distinct.join(degree, distinct.rep == degree.id, "left").join(classes, F.col("rep") == F.col("node"), "left")
     reps = reps.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class"))
+    reps = scratch.write(reps)
     good = base.where("sound").join(reps, ["label", "vector"]).select("vec_id", "n_links", F.col("class").alias("component_id"))
     rest = base.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -249,7 +249,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     cut = scratch.write(pieces(docs, id_col, text_col, path, sequence, end))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     counts = scratch.write(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row for each length

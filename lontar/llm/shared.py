@@ -53,7 +53,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def split_hot(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
+def split_hot(df: DataFrame, key: str, item: str, most: int, scratch: Scratch) -> DataFrame:
     """Add ``part_i``, ``part_j``: a group of up to ``most`` rows stays whole as (0, 0).
 
     A larger group is cut into k = ceil(rows / most) chunks by the hash of ``item`` and each row goes to
@@ -61,6 +61,7 @@ def split_hot(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
     and no part holds much over 2 x ``most`` rows. ``item`` must tell the rows of a group apart.
     """
     hot = df.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / F.lit(most)).cast("int").alias("_k"))
+    hot = scratch.write(hot)  # as a table it is broadcast if small, and else Spark can split the hot side of the join
     own = F.pmod(F.xxhash64(item), F.col("_k")).cast("int")
     return (
         df.join(hot, key, "left")
@@ -111,14 +112,17 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if not sums["n"] or state == seen:
             break
         seen = state
-        low = e.groupBy(F.col("hi").alias("_u")).agg(F.min("lo").alias("_m"))
+        # Minima are written before they are joined: Spark splits a hub's rows only in a join of two plain shuffles.
+        low = scratch.write(e.groupBy(F.col("hi").alias("_u")).agg(F.min("lo").alias("_m")))
         large = e.join(low, F.col("lo") == F.col("_u"), "left").select("hi", F.coalesce("_m", "lo").alias("lo"))
         large = scratch.write(large.distinct())
-        low = large.groupBy(F.col("hi").alias("_u")).agg(F.min("lo").alias("_m"))
+        scratch.drop(low)
+        low = scratch.write(large.groupBy(F.col("hi").alias("_u")).agg(F.min("lo").alias("_m")))
         joined = large.join(low, F.col("hi") == F.col("_u"))
         small = joined.select(F.col("lo").alias("hi"), F.col("_m").alias("lo")).where("hi <> lo").unionByName(low.select(F.col("_u").alias("hi"), F.col("_m").alias("lo")))
         after = scratch.write(small.distinct())
         scratch.drop(e)
         scratch.drop(large)
+        scratch.drop(low)
         e = after
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

@@ -154,7 +154,7 @@ def _links(distance: int):
     return run
 
 
-def link_edges(codes: DataFrame, distance: int, most: int = MOST) -> DataFrame:
+def link_edges(codes: DataFrame, distance: int, scratch: Scratch, most: int = MOST) -> DataFrame:
     """Edges (a, b) between the ``rep`` ids of distinct ``code`` rows that span every class of linked codes."""
     n = codes.count()
     j = next(j for j in range(1, 5) if j == 4 or n >> min(w for _, w in segments(distance, j)) * j <= NODE)
@@ -162,7 +162,7 @@ def link_edges(codes: DataFrame, distance: int, most: int = MOST) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tops = F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit(m)).alias("pattern")) for k, m in enumerate(signed)])
     rows = codes.select("code", "rep", F.explode(tops).alias("top")).select(F.xxhash64("top.k", "top.pattern").alias("node"), "code", "rep")
-    dealt = split_hot(rows, "node", "code", most).select("node", "part_i", "part_j", "code", "rep")
+    dealt = split_hot(rows, "node", "code", most, scratch).select("node", "part_i", "part_j", "code", "rep")
     dealt = dealt.repartition("node", "part_i", "part_j").sortWithinPartitions("node", "part_i", "part_j")
     return dealt.mapInArrow(_links(distance), "a long, b long")
 
@@ -178,8 +178,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = scratch.write(fingerprints(docs, id_col, text_col))
     codes = prints.where("doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("rep"))
     codes = scratch.write(codes)
-    classes = connected_components(link_edges(codes, distance), scratch)
+    classes = connected_components(link_edges(codes, distance, scratch), scratch)
     roots = codes.join(classes, codes.rep == classes.node, "left").select("code", F.coalesce("component", "rep").alias("component_id"))
+    roots = scratch.write(roots)
     return prints.join(roots, "code", "left").select("doc_id", hex16("code").alias("fingerprint"), "component_id")
 
 

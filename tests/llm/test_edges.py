@@ -35,7 +35,7 @@ def test_hot_node(spark):
     base = int(rng.integers(1 << 62))
     codes = sorted({base ^ sum(1 << int(b) for b in rng.choice(60, 3, replace=False)) for _ in range(400)} | {int(x) for x in rng.integers(1 << 62, size=300)})
     rows = spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "code long, rep long")
-    found = connected_components(simhash.link_edges(rows, 4, most=50), Scratch(spark)).collect()
+    found = connected_components(simhash.link_edges(rows, 4, Scratch(spark), most=50), Scratch(spark)).collect()
     label = list(range(len(codes)))
     for i in range(len(codes)):
         for j in range(i):
@@ -57,7 +57,7 @@ def test_components(spark):
 
 def test_split_hot(spark):
     rows = spark.createDataFrame([(0, i) for i in range(40)] + [(1, 100)], "k long, i long")
-    out = split_hot(rows, "k", "i", 10).collect()
+    out = split_hot(rows, "k", "i", 10, Scratch(spark)).collect()
     meet = {}
     for r in out:
         meet.setdefault((r.k, r.part_i, r.part_j), set()).add(r.i)
