@@ -163,3 +163,18 @@ def test_op1(spark, data):
         assert sums[d] / sum(sums.values()) == pytest.approx(w, abs=0.02)
     assert (out.rate >= 0).all() and np.allclose(out[[f"p_{d}" for d in entries.WEIGHTS]].sum(axis=1), 1)
     assert ((out.copies - out.rate).abs() < 1).all()
+
+
+@pytest.mark.parametrize("name", sorted(entries.SQL))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
+    result = con.execute(entries.SQL[name])
+    names = [c[0] for c in result.description]
+    ours = entries.queries()[name](spark, d)
+    assert sorted(ours.columns) == sorted(names)
+    assert sorted(map(tuple, ours.select(*names).collect())) == sorted(map(tuple, result.fetchall()))
