@@ -115,10 +115,31 @@ def antecedent(left: Column, suffix: str = "nya", window: int = 2) -> Column:
     return F.get(found, 0)
 
 
-def _cut(text: Column, word: str, suffix: str) -> tuple[Column, Column]:
-    """Pieces of ``text`` cut before each word of class ``word`` that ends with the suffix, and where each begins."""
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _cut(text: Column, word: str, suffix: str, window: int) -> Column:
+    """``text`` cut before each word of class ``word`` that ends with the suffix: array of (piece, left, at).
+
+    left is what stands before the piece, as far back as ``window`` + 1 sentences that aren't blank (all of it if
+    ``window`` isn't positive), so that a long text costs its length and not its square; at is the piece's offset.
+    """
     pieces = F.split(text, rf"(?i)(?<!{WORD})(?={word}+{suffix}(?!{WORD}))")
-    return pieces, F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, F.lit(1), i - 1), ""))
+    start = F.struct(F.lit("").alias("tail"), F.lit(0).alias("at"), F.array().cast("array<struct<piece:string,left:string,at:int>>").alias("out"))
+
+    def trimmed(chunks: Column) -> Column:
+        filled = F.filter(F.sequence(F.lit(0), F.size(chunks)), lambda i: F.trim(F.coalesce(F.get(chunks, i), F.lit(""))) != "")
+        return _let(filled, lambda f: F.array_join(F.when(F.size(f) > window, F.slice(chunks, F.get(f, F.size(f) - window - 1) + 1, F.size(chunks))).otherwise(chunks), ""))
+
+    def step(state: Column, piece: Column) -> Column:
+        whole = F.concat(state["tail"], piece)
+        tail = _let(F.regexp_extract_all(whole, F.lit(_SENTENCE), F.lit(0)), trimmed) if window > 0 else whole
+        entry = F.struct(piece.alias("piece"), state["tail"].alias("left"), state["at"].alias("at"))
+        return F.struct(tail.alias("tail"), (state["at"] + F.length(piece)).alias("at"), F.array_append(state["out"], entry).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda state: state["out"])
 
 
 def occurrences(text: Column, known: Column, suffix: str = "nya", window: int = 2) -> Column:
@@ -126,17 +147,20 @@ def occurrences(text: Column, known: Column, suffix: str = "nya", window: int =
 
     The context of an occurrence is all text to its left. function: anaphoric with an antecedent, else possessive.
     """
-    pieces, lefts = _cut(text, "[A-Za-zÀ-ÿ]", suffix)
     shape = rf"(?i)^(([A-Za-zÀ-ÿ]+){suffix})(?!{WORD})"
 
-    def one(piece: Column, left: Column) -> Column:
-        token, host = F.regexp_extract(piece, shape, 1), F.regexp_extract(piece, shape, 2)
-        found = antecedent(left, suffix, window)
-        kind = F.when(found.isNotNull(), "anaphoric").otherwise("possessive")
-        start = F.length(left)
-        return F.struct(start.alias("start"), (start + F.length(token)).alias("stop"), token.alias("token"), host.alias("host"), host.alias("root"), found.alias("antecedent"), kind.alias("function"))
+    def one(c: Column) -> Column:
+        token, host = F.regexp_extract(c["piece"], shape, 1), F.regexp_extract(c["piece"], shape, 2)
+
+
+        def labelled(found: Column) -> Column:
+            kind = F.when(found.isNotNull(), "anaphoric").otherwise("possessive")
+            return F.struct(c["at"].alias("start"), (c["at"] + F.length(token)).alias("stop"), token.alias("token"), host.alias("host"), host.alias("root"), found.alias("antecedent"), kind.alias("function"))
+
+        return _let(antecedent(c["left"], suffix, window), labelled)
 
-    return F.filter(F.zip_with(pieces, lefts, one), lambda o: (o["token"] != "") & F.array_contains(known, F.lower(o["root"])))
+    clitics = F.filter(_cut(text, "[A-Za-zÀ-ÿ]", suffix, window), lambda c: F.array_contains(known, F.lower(F.regexp_extract(c["piece"], shape, 2))))
+    return F.transform(clitics, one)
 
 
 def resolved(text: Column, known: Column, suffix: str = "nya", window: int = 2) -> Column:
@@ -156,21 +180,20 @@ def count_suffix(text: Column, suffix: str = "nya") -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(rf"(?iu)(?<!{WORD}){WORD}+{suffix}(?!{WORD})"), F.lit(0)))
 
 
-def _lefts(text: Column, suffix: str) -> Column:
-    pieces, lefts = _cut(text, WORD, suffix)
-    starts = F.zip_with(pieces, lefts, lambda p, c: F.when(p.rlike(rf"(?i)^{WORD}+{suffix}(?!{WORD})"), c))
-    return F.filter(starts, lambda c: c.isNotNull())
+def _lefts(text: Column, suffix: str, window: int) -> Column:
+    clitics = F.filter(_cut(text, WORD, suffix, window), lambda c: c["piece"].rlike(rf"(?i)^{WORD}+{suffix}(?!{WORD})"))
+    return F.transform(clitics, lambda c: c["left"])
 
 
 def count_anaphoric(text: Column, suffix: str = "nya", window: int = 2) -> Column:
     """Suffixed words with an antecedent in their window, whatever their root."""
-    return F.size(F.filter(_lefts(text, suffix), lambda left: antecedent(left, suffix, window).isNotNull()))
+    return F.size(F.filter(_lefts(text, suffix, window), lambda left: antecedent(left, suffix, window).isNotNull()))
 
 
 def entity_referenced(text: Column, entity: Column, suffix: str = "nya", window: int = 2) -> Column:
     """Whether a suffixed word has ``entity``, as a substring, in a sentence of its window; false without an entity."""
     name = F.trim(entity)
-    inside = F.exists(_lefts(text, suffix), lambda left: F.exists(F.slice(F.reverse(sentences(left)), 1, window), lambda s: s.contains(name)))
+    inside = F.exists(_lefts(text, suffix, window), lambda left: F.exists(F.slice(F.reverse(sentences(left)), 1, window), lambda s: s.contains(name)))
     return F.coalesce(inside & (name != ""), F.lit(False))
 
 

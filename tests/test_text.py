@@ -78,3 +78,28 @@ def test_prepared_and_differences(spark):
 def test_matrix():
     assert len(P.matrix()) == 10 and P.matrix()[0].run_id == "bm25__keep"
     assert len(P.pending(P.matrix(), {"bm25__keep"})) == 9
+
+
+def reference_resolved(text, known, window=2):
+    """A plain second version, with the whole left context."""
+    entity = re.compile(r"\b[A-Z][\wÀ-ÿ]*(?:\s+[A-Z][\wÀ-ÿ]*)*")
+    out, at = "", 0
+    for m in re.finditer(r"\b([A-Za-zÀ-ÿ]+)nya\b", text, re.I):
+        before = [s.strip() for s in re.findall(r"[^.!?]+[.!?]?", text[: m.start()]) if s.strip()]
+        names = [e for s in reversed(before[-window:]) for e in entity.findall(s) if not e.lower().endswith("nya")]
+        if m[1].lower() in known and names:
+            out += text[at : m.start()] + m[1] + " " + names[0]
+            at = m.end()
+    return out + text[at:]
+
+
+def test_resolver_against_second_version(spark):
+    import random
+
+    random.seed(5)
+    words = ["Sukarno", "Hatta Muda", "pidatonya", "Pidatonya", "bukunya", "hujan", ".", "!", "...", "  ", "\n", "Kenya", "rumahnya", "di", "?"]
+    rows = [(i, " ".join(random.choices(words, k=random.randrange(1, 60)))) for i in range(150)]
+    known = ["pidato", "buku"]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("known", F.array(*map(F.lit, known)))
+    got = {r.id: r.out for r in df.select("id", X.resolved(F.col("t"), F.col("known")).alias("out")).collect()}
+    assert all(got[i] == reference_resolved(t, known) for i, t in rows)
