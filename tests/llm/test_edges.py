@@ -82,7 +82,7 @@ def test_passages(spark, docs, none):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"one two {passage} three"), (2, f"{passage.replace('w30 ', 'other ')} four"), (3, " ".join(f"w{i}" for i in range(40))), (4, "nothing shared here at all " * 3), (None, passage)]
     found = {r.doc_id: r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [tuple(p) for p in found[1].passages] == [(2, 62)] and found[2].class_id == 1 and found[2].n_links == 1
+    assert [tuple(p) for p in found[1].passages] == [(2, 62)] and found[2].component_id == 1 and found[2].n_links == 1
     assert found[3].n_passages == found[4].n_passages == found[None].n_passages == 0
     assert chaining.repeated_passages(none).count() == 0
 

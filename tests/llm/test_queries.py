@@ -152,7 +152,7 @@ def test_op4(spark, data, docs):
             own[b" ".join(w[k : k + 60])].add(i)
     shared = [s for s in own.values() if len(s) > 1]
     assert all(out.n_passages[i] > 0 for s in shared for i in s)
-    assert all(len({out.class_id[i] for i in s}) == 1 for s in shared)
+    assert all(len({out.component_id[i] for i in s}) == 1 for s in shared)
     assert (out.n_passages == 0).sum() > len(out) / 2
 
 
