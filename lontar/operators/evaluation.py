@@ -79,17 +79,21 @@ def baseline_gate(values: DataFrame, reference: float, tolerance: float = 0.02,
 def containment_judgments(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, doc_id, relevance 1 where a document's text holds a query's.
 
-    A query is looked up by its rarest-looking token pair: both texts' first tokens pairs are joined, then verified.
+    Candidates share the query's second to fourth token (its first and last may be parts of longer words); they are
+    verified on the texts. Queries of fewer than five tokens have no such run inside and are held against every text.
     """
     from lontar.functions.text import tokens
 
-    asked = queries.select("query_id", F.col("text").alias("query_text"), F.slice(tokens(F.col("text")), 1, 4).alias("t"))
-    asked = asked.select("query_id", "query_text", F.xxhash64(F.array_join(F.slice("t", 2, 3), " ")).alias("key"))
-    words = docs.select("doc_id", "text", tokens(F.col("text")).alias("t"))
+    asked = queries.select("query_id", F.col("text").alias("query_text"), tokens(F.col("text")).alias("t"))
+    long = asked.where(F.size("t") >= 5).select("query_id", "query_text", F.xxhash64(F.array_join(F.slice("t", 2, 3), " ")).alias("key"))
+    words = docs.select("doc_id", tokens(F.col("text")).alias("t"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.lit(3)), " ")))
     places = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
-    near = places.join(asked, "key").select("query_id", "query_text", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
-    return near.where(F.col("text").contains(F.col("query_text"))).select("query_id", "doc_id", F.lit(1).alias("relevance")).distinct()
+    near = places.join(long, "key").select("query_id", "query_text", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    found = near.where(F.col("text").contains(F.col("query_text"))).select("query_id", "doc_id")
+    short = asked.where(F.size("t") < 5).select("query_id", "query_text")
+    rest = docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("query_text"))).select("query_id", "doc_id")
+    return found.unionByName(rest).distinct().withColumn("relevance", F.lit(1))
 
 
 def nested_judgments(rows: DataFrame, negatives: bool = False) -> DataFrame:

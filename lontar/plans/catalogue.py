@@ -515,8 +515,8 @@ def matrix_summary(spark, d):
     return E.condition_summary(rows, ["ndcg_1", "ndcg_10", "recall_10", "mrr_100", "recall_100"])
 
 
-@register("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@register("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def extension_event_windows(spark, d):
     from lontar.streaming.incremental import windowed_counts
 
-    return windowed_counts(table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return windowed_counts(table(spark, d, "events")).select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
