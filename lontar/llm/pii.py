@@ -183,7 +183,7 @@ def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text", count_col
     text = f"`{text_col}`"
     found = f"regexp_extract_all({text}, {_quoted(ANY)}, 0)"
     paired = f"transform({found}, m -> named_struct('was', m, 'is', {pseudonym(key)}))"
-    some = F.col(f"`{text_col}`").rlike("[0-9]")
+    some = F.col(f"`{text_col}`").rlike("[0-9@]")  # each kind holds a digit or, as an address may, only an @
     out = docs.withColumn(private, F.when(some, F.expr(paired)))
     merged = F.expr(f"array_join(transform(split({text}, {_quoted(ANY)}, -1), (p, i) -> concat(p, coalesce(get({private}, i).is, ''))), '')")
     if count_col:

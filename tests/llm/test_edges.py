@@ -118,6 +118,13 @@ def test_pseudonyms(spark, docs, none):
     assert "000-12-3456" in got[4] and "123-45-6789" not in got[4]
 
 
+def test_address_without_digits(spark):
+    rows = spark.createDataFrame([(1, "write to jane.doe@example.com today"), (2, "no @ address, nor a digit")], "doc_id int, text string")
+    out = {r.doc_id: r for r in pii.with_pseudonyms(rows, "k", count_col="n_replaced").collect()}
+    assert "jane.doe@example.com" not in out[1].text and out[1].n_replaced == 1 and out[1].text.startswith("write to ") and out[1].text.endswith(".com today")
+    assert out[2].text == "no @ address, nor a digit" and out[2].n_replaced == 0
+
+
 def test_pseudonyms_are_permutations(spark):
     rows = spark.createDataFrame([(i, f"{i:03d}-555-0000") for i in range(300)], "doc_id int, text string")
     assert pii.with_pseudonyms(rows, "k").select("text").distinct().count() == 300
