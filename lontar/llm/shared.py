@@ -54,11 +54,11 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def split_hot(df: DataFrame, key: str, item: str, most: int, scratch: Scratch) -> DataFrame:
-    """Add ``part_i``, ``part_j``: a group of up to ``most`` rows stays whole as (0, 0).
+    """Add ``part_i``, ``part_j``, ``own``: a group of up to ``most`` rows stays whole as (0, 0).
 
     A larger group is cut into k = ceil(rows / most) chunks by the hash of ``item`` and each row goes to
     every pair of chunks that holds its own, so that any two rows of the group meet in some (part_i, part_j)
-    and no part holds much over 2 x ``most`` rows. ``item`` must tell the rows of a group apart.
+    and no part holds much over 2 x ``most`` rows. ``own`` is a row's own chunk. ``item`` must tell the rows of a group apart.
     """
     hot = df.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / F.lit(most)).cast("int").alias("_k"))
     hot = scratch.write(hot)  # as a table it is broadcast if small, and else Spark can split the hot side of the join
@@ -69,7 +69,8 @@ def split_hot(df: DataFrame, key: str, item: str, most: int, scratch: Scratch) -
         .withColumn("_other", F.explode(F.when(F.col("_k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_k") - 1))))
         .withColumn("part_i", F.least("_own", "_other"))
         .withColumn("part_j", F.greatest("_own", "_other"))
-        .drop("_k", "_own", "_other")
+        .withColumnRenamed("_own", "own")
+        .drop("_k", "_other")
     )
 
 

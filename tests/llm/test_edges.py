@@ -87,6 +87,25 @@ def test_passages(spark, docs, none):
     assert chaining.repeated_passages(none).count() == 0
 
 
+def test_all_pairs_of_passages(spark, monkeypatch):
+    monkeypatch.setattr(chaining, "MOST", 4)
+    passage, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(i, f"{'x' * i} {passage} {'y' * i}") for i in range(1, 8)] + [(8, f"{other} end"), (9, f"{other} end"), (10, f"begin {other}"), (11, "short"), (12, "short")]
+    found = {r.doc_id: r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i].n_links for i in range(1, 13)] == [6] * 7 + [2] * 3 + [0] * 2
+    assert [found[i].component_id for i in range(1, 13)] == [1] * 7 + [8] * 3 + [11, 12]
+    assert [tuple(p) for p in found[4].passages] == [(1, 61)] and [tuple(p) for p in found[9].passages] == [(0, 61)] and [tuple(p) for p in found[10].passages] == [(1, 61)]
+
+
+def test_bridge_in_the_middle(spark):
+    """Documents 2 and 3 share a passage whose seeds 1 and 4 hold in pieces too short for passages of their own."""
+    words = [f"m{i}" for i in range(60)]
+    cuts = [" ".join(words[i : i + 45]) for i in (0, 15)]
+    rows = [(1, f"a1 {cuts[0]} a2 {'z ' * 3}{' '.join(f'k{i}' for i in range(40))} {cuts[1]}"), (2, f"b1 {' '.join(words)}"), (3, f"{' '.join(words)} c1"), (4, f"d1 {cuts[1]} {' '.join(f'j{i}' for i in range(80))} {cuts[0]}")]
+    found = {r.doc_id: r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [found[i].n_links for i in (1, 2, 3, 4)] == [0, 1, 1, 0] and found[3].component_id == 2
+
+
 def test_licenses(docs, none):
     out = licenses.scan(docs)
     assert out.where("doc_id = 6 and n_base = 1 and labels = 'mit'").count() == 2 and out.count() == 9
