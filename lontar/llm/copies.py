@@ -1,0 +1,96 @@
+"""Near copies: documents whose sets of word 5-shingles have a Jaccard similarity of 0.8 at least.
+
+Candidates share a band of ``ROWS`` min-hashes out of ``BANDS``; of pairs at the similarity itself 3 in a million share
+none. Each candidate is verified on the shingles. Equal sets are represented by one of them; a band of over ``MOST``
+documents is dealt by pairs of its chunks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lontar.llm.shared import Scratch, connected_components, free_name, split_hot
+
+SHINGLE = 5
+BANDS, ROWS = 24, 4
+MOST = 2048
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(43).integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Hashes of the distinct word 5-shingles in order; a shorter text is one shingle, one without words has none."""
+    words = text.lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if n < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: n - SHINGLE + 1].tolist()
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[i:j]) for i, j in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A value for each band."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low = np.array([(hashes * f).min() for f in _FACTORS]).reshape(BANDS, ROWS)
+    mixed = (low ^ (low >> np.uint64(31))) * _MIX
+    return (mixed ^ (mixed >> np.uint64(29))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _code(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1).cast(pa.binary())]
+        arrays = [batch.column(0), pa.array([_code(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array([bands(h) for h in found], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "code", "n", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+            found = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([_code(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["code", "shingles"])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest that links of near copies reach; rows with a null id stay.
+
+    A null text counts as empty, and texts without words are copies of each other. Columns stay as they were.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    read = scratch.write(rows.mapInArrow(_sketch, "doc_id long, code long, n long, bands array<long>"))
+    reps = scratch.write(read.groupBy("code").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    spots = reps.select("code", "rep", "n", F.posexplode("bands").alias("k", "value")).select(F.xxhash64("k", "value").alias("band"), "code", "rep", "n")
+    met = scratch.write(spots.groupBy("band").count().where("count > 1").select("band"))
+    spots = scratch.write(spots.join(met, "band"))
+    dealt = scratch.write(split_hot(spots, "band", "code", MOST, scratch).drop("own"))
+    other = dealt.select("band", "part_i", "part_j", *[F.col(c).alias(f"{c}_b") for c in ("code", "rep", "n")])
+    pairs = dealt.join(other, ["band", "part_i", "part_j"]).where("code < code_b and 5 * least(n, n_b) >= 4 * greatest(n, n_b)")
+    pairs = scratch.write(pairs.select("code", "rep", "n", "code_b", "rep_b", "n_b").distinct())
+    need = scratch.write(pairs.select(F.explode(F.array("rep", "rep_b")).alias("doc_id")).distinct())
+    texts = rows.join(need, "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(_sets, "code long, shingles array<long>")
+    sets = scratch.write(sets.groupBy("code").agg(F.first("shingles").alias("shingles")))
+    held = pairs.join(sets, "code").join(sets.select(F.col("code").alias("code_b"), F.col("shingles").alias("shingles_b")), "code_b")
+    same = F.size(F.array_intersect("shingles", "shingles_b"))
+    edges = held.where(9 * same >= 4 * (F.col("n") + F.col("n_b"))).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
+    classes = connected_components(edges, scratch)
+    roots = scratch.write(reps.join(classes, reps.rep == classes.node, "left").select("code", F.coalesce("component", "rep").alias("component")))
+    copy = free_name(docs, "_copy")
+    drop = scratch.write(read.select("doc_id", "code").join(roots, "code").where("doc_id <> component").select(F.col("doc_id").alias(copy)).distinct())
+    return docs.join(drop, F.col(id_col).cast("long") == F.col(copy), "left_anti")

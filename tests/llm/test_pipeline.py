@@ -35,3 +35,20 @@ def test_stages(spark, data):
 def test_run(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_near_copies_beyond_simhash(spark):
+    """Similarity 0.8 and more is found whatever the fingerprints' distance, less isn't, and columns stay."""
+    words = [f"w{i}" for i in range(200)]
+
+    def changed(n):
+        return " ".join("other" + w if i % (200 // n) == 7 and i // (200 // n) < n else w for i, w in enumerate(words))
+
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in (" ".join(words), changed(4), changed(20))]
+    similarity = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert similarity[0] >= 0.8 > similarity[1]
+    rows = [(3, " ".join(words), 1), (4, changed(4), 2), (5, changed(20), 3), (6, " ".join(words).upper(), 4), (7, None, 5), (8, "", 6), (None, " ".join(words), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep int")
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.rep for r in out.collect()) == [1, 3, 5, 7]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
