@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lontar.llm.shared import Scratch
+from lontar.llm.tokens import Tokens, tokens
 
 START, STOP = "<|im_start|>", "<|im_end|>"
-#: Ids of the two control strings, behind the vocabulary's own.
-START_ID, STOP_ID = 50257, 50258
 LEARNED = "assistant"
 
 
-@cache
-def _encoder(path: str | None):
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={START: START_ID, STOP: STOP_ID})
-
-
 def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
@@ -64,27 +50,35 @@ def unescape_role(role: str) -> str:
 
 def turn_tokens(role: str, text: str, path: str | None = None) -> tuple[np.ndarray, int, int]:
     """Ids of a turn, and where its learned part begins and ends."""
-    plain = _encoder(path).encode_ordinary
-    head, body = [START_ID, *plain(escape_role(role) + "\n")], plain(escape(text))
-    learned = (len(head), len(head) + len(body)) if role == LEARNED else (0, 0)
-    return np.array([*head, *body, STOP_ID, *plain("\n")], "<i4"), *learned
+    plain = tokens(path, plain=True)
+    head, body, end = plain.ids(escape_role(role) + "\n"), plain.ids(escape(text)), plain.ids("\n")
+    start, stop = control_ids(plain)
+    a = 1 + len(head)
+    learned = (a, a + len(body)) if role == LEARNED else (0, 0)
+    return np.concatenate([[start], head, body, [stop], end]).astype("<i4"), *learned
+
+
+def control_ids(plain: Tokens) -> tuple[int, int]:
+    """Ids of the two control strings, behind the vocabulary's own."""
+    return plain.size, plain.size + 1
 
 
 def _paths(path: str | None):
     kind = pa.list_(pa.struct([("key", pa.binary()), ("size", pa.int32()), ("tokens", pa.binary()), ("loss_from", pa.int32()), ("loss_to", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for turns in batch.column(1).to_pylist():
-                name, nodes = b"", []
-                for t in turns:
-                    role, text = t["role"], t["text"]
-                    name = hashlib.blake2b(b"%s%d\n%s\n%s" % (name, len(role), role.encode(), text.encode()), digest_size=16).digest()
-                    ids, a, b = turn_tokens(role, text, path)
-                    nodes.append({"key": name, "size": len(ids), "tokens": ids.tobytes(), "loss_from": a, "loss_to": b})
-                out.append(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["conv_id", "nodes"])
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                out = []
+                for turns in batch.column(1).to_pylist():
+                    name, nodes = b"", []
+                    for t in turns:
+                        role, text = t["role"], t["text"]
+                        name = hashlib.blake2b(b"%s%d\n%s\n%s" % (name, len(role), role.encode(), text.encode()), digest_size=16).digest()
+                        ids, a, b = turn_tokens(role, text, path)
+                        nodes.append({"key": name, "size": len(ids), "tokens": ids.tobytes(), "loss_from": a, "loss_to": b})
+                    out.append(nodes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["conv_id", "nodes"])
 
     return run
 
@@ -109,21 +103,45 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in out], pa.list_(pa.int64())), pa.array([n for _, n in out], pa.int32())], names=[*batch.schema.names, "starts", "same"])
 
 
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of placed paths: the nodes that no path before has, each with its place, position and ancestors' intervals."""
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    for whole in batches:
+        for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+            keys, starts, positions, ancestors = [], [], [], []
+            for names, sizes, places, fresh in zip(*(batch.column(c).to_pylist() for c in ("keys", "sizes", "places", "fresh")), strict=True):
+                position, path = 0, []
+                for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
+                    if fresh[k]:
+                        keys.append(names[k])
+                        starts.append(place)
+                        positions.append(position)
+                        ancestors.append([dict(p) for p in path])
+                    position += size
+                    if path and path[-1]["stop"] == place:
+                        path[-1]["stop"] += size
+                    else:
+                        path.append({"start": place, "stop": place + size})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(positions, pa.int64()), pa.array(ancestors, spans)], names=["key", "start", "first_position", "ancestors"])
+
+
 def prefix_tree(turns: DataFrame, scratch: Scratch, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, conversations) of ``turns`` (conv_id, turn, role, text).
 
     nodes: start, tokens (little-endian 32-bit ids), first_position, loss_from, loss_to (offsets in the node),
-    ancestors (start, stop): the stream is the nodes in order of start, without gaps. conversations: conv_id, spans
-    (start, stop) of the nodes along its path.
+    ancestors (start, stop; those that touch are merged): the stream is the nodes in order of start, without gaps.
+    conversations: conv_id, number (its own), starts of the nodes along its path.
 
-    Turns are ordered by turn, role and text, nulls first; a null role or text counts as empty; rows with a null
-    conv_id are one conversation; repeated rows are turns of their own. Other columns are ignored.
+    Turns are ordered by turn, role and text, nulls first; a null role or text counts as empty; each row with a null
+    conv_id is a conversation of its own; repeated rows are turns of their own; an empty table gives empty ones. Other
+    columns are ignored.
     """
     spark = turns.sparkSession
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    known = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    single = rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns"))
     fields = "conv_id long, nodes array<struct<key:binary,size:int,tokens:binary,loss_from:int,loss_to:int>>"
-    convs = scratch.write(grouped.mapInArrow(_paths(path), fields))
+    convs = scratch.write(known.unionByName(single).mapInArrow(_paths(path), fields).withColumn("number", F.monotonically_increasing_id()))
     leaf = F.element_at("nodes.key", -1)
     paths = convs.select(leaf.alias("leaf"), F.col("nodes.key").alias("keys"), F.col("nodes.size").alias("sizes")).groupBy("leaf").agg(F.first("keys").alias("keys"), F.first("sizes").alias("sizes"))
     # The groups above are written before they are sorted, so that sampling the ranges doesn't compute them twice.
@@ -145,51 +163,52 @@ def prefix_tree(turns: DataFrame, scratch: Scratch, path: str | None = None) ->
     joint = F.broadcast(spark.createDataFrame(joints, "range int, base long, skipped long, carried array<long>"))
     placed = numbered.join(joint, "range")
     # A start below `skipped` is a node on the path that the range before ended with: its place was found there.
-    spans = F.expr("transform(starts, (s, k) -> if(s < skipped, carried[k], base + s - skipped))")
-    placed = placed.withColumn("places", spans).withColumn("spans", F.expr("transform(places, (s, k) -> struct(s as start, s + sizes[k] as stop))"))
-    fresh = F.expr("filter(transform(starts, (s, k) -> if(k >= same and s >= skipped, k, -1)), k -> k >= 0)")
-    placed = placed.select("leaf", "keys", "sizes", "spans", fresh.alias("fresh"))
-    emitted = placed.select("keys", "sizes", "spans", F.explode("fresh").alias("k"))
-    emitted = emitted.select(
-        F.expr("keys[k]").alias("key"),
-        F.expr("spans[k].start").alias("start"),
-        F.expr("aggregate(slice(sizes, 1, k), 0L, (a, x) -> a + x)").alias("first_position"),
-        F.expr("slice(spans, 1, k)").alias("ancestors"),
-    )
-    tokens = convs.select(F.explode("nodes").alias("n")).groupBy(F.col("n.key").alias("key")).agg(F.first("n.tokens").alias("tokens"), F.first("n.loss_from").alias("loss_from"), F.first("n.loss_to").alias("loss_to"))
-    nodes = scratch.write(emitted.join(tokens, "key").select("start", "tokens", "first_position", "loss_from", "loss_to", "ancestors"))
-    owners = scratch.write(convs.select("conv_id", leaf.alias("leaf")).join(placed.select("leaf", "spans"), "leaf").select("conv_id", "spans"))
+    places = F.expr("transform(starts, (s, k) -> if(s < skipped, carried[k], base + s - skipped))")
+    fresh = F.expr("transform(starts, (s, k) -> k >= same and s >= skipped)")
+    placed = placed.select("leaf", "keys", "sizes", places.alias("places"), fresh.alias("fresh"))
+    emitted = placed.select("keys", "sizes", "places", "fresh").mapInArrow(_emit, "key binary, start long, first_position long, ancestors array<struct<start:long,stop:long>>")
+    ids = convs.select(F.explode("nodes").alias("n")).groupBy(F.col("n.key").alias("key")).agg(F.first("n.tokens").alias("tokens"), F.first("n.loss_from").alias("loss_from"), F.first("n.loss_to").alias("loss_to"))
+    nodes = scratch.write(emitted.join(ids, "key").select("start", "tokens", "first_position", "loss_from", "loss_to", "ancestors"))
+    owners = scratch.write(convs.select("conv_id", "number", leaf.alias("leaf")).join(placed.select("leaf", F.col("places").alias("starts")), "leaf").select("conv_id", "number", "starts"))
+    for table in (convs, paths, numbered):
+        scratch.drop(table)
     return nodes, owners
 
 
 def _digests(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _encoder(path).decode
+        plain = tokens(path, plain=True)
+        shown_as = [*plain.bytes_of, START.encode(), STOP.encode()]
         turn = re.compile(rf"{re.escape(START)}(.*?)\n(.*){re.escape(STOP)}\n", re.DOTALL)
-        for batch in batches:
-            out = []
-            for conv, nodes in zip(batch.column("conv_id").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
-                turns, learned, loss, chars = hashlib.sha256(), hashlib.sha256(), 0, 0
-                for n in nodes:
-                    ids = np.frombuffer(n["tokens"], "<i4").tolist()
-                    shown = decode(ids)
-                    chars += len(shown)
-                    m = turn.fullmatch(shown)
-                    turns.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
-                    text = unescape(decode(ids[n["loss_from"] : n["loss_to"]]))
-                    learned.update(text.encode())
-                    loss += len(text)
-                out.append((conv, len(nodes), turns.hexdigest(), loss, learned.hexdigest(), chars))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+        def decode(ids: np.ndarray) -> str:
+            return b"".join(map(shown_as.__getitem__, ids.tolist())).decode()
+
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                out = []
+                for conv, nodes in zip(batch.column("conv_id").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+                    turns, learned, loss, chars = hashlib.sha256(), hashlib.sha256(), 0, 0
+                    for n in nodes:
+                        ids = np.frombuffer(n["tokens"], "<i4")
+                        shown = decode(ids)
+                        chars += len(shown)
+                        m = turn.fullmatch(shown)
+                        turns.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
+                        text = unescape(decode(ids[n["loss_from"] : n["loss_to"]]))
+                        learned.update(text.encode())
+                        loss += len(text)
+                    out.append((conv, len(nodes), turns.hexdigest(), loss, learned.hexdigest(), chars))
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                columns = zip(*out, strict=True) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return run
 
 
 def read_back(nodes: DataFrame, conversations: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of each conversation as the stream holds it: its nodes are looked up by the places along its path."""
-    wanted = conversations.select("conv_id", F.posexplode("spans").alias("k", "span")).select("conv_id", "k", F.col("span.start").alias("start"))
+    wanted = conversations.select("conv_id", "number", F.posexplode("starts").alias("k", "start"))
     found = wanted.join(nodes.select("start", "tokens", "loss_from", "loss_to"), "start")
-    whole = found.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "tokens", "loss_from", "loss_to"))).alias("nodes"))
-    return whole.mapInArrow(_digests(path), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    whole = found.groupBy("number", "conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "tokens", "loss_from", "loss_to"))).alias("nodes"))
+    return whole.select("conv_id", "nodes").mapInArrow(_digests(path), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -7,22 +7,23 @@ program prices new patterns by the program's duals until the program is within `
 rounded down; what is left, a bounded number of pieces, gets further patterns by an exact-fill dynamic program. Then
 every piece is ranked among those of its length, and ranks are dealt to the patterns' slots.
 
-Ranks come from counts per length and bucket, so a length that a third of all pieces share is ranked by many tasks.
+A piece is ranked among those of its length by the task that cuts it, and a task's ranks go on where those of the tasks
+before it end. So a length, a document or a repeated row that a third of all pieces share is ranked by many tasks.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lontar.llm.shared import Scratch
+from lontar.llm.tokens import tokens
 
 SEQUENCE = 1024
 END = 0
@@ -32,67 +33,32 @@ GAP = 2e-3
 STEPS = 8
 
 
-@cache
-def _encoders(path: str):
-    """ids of a text by the tokenizer in ``path``.
-
-    Where the same vocabulary is there as ranks, texts of Latin letters and ASCII go through the faster library that
-    reads those; both give the same ids. Anything else goes through the tokenizer itself.
-    """
-    import base64
-    import os
-
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks):
-        return None, own
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in own.get_added_tokens_decoder().items()}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special), own
-
-
-_PLAIN = re.compile("[^\x00-ſ]")
-
-
-def token_ids(text: str, path: str) -> np.ndarray:
-    fast, own = _encoders(path)
-    if fast is not None and not _PLAIN.search(text):
-        return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), "<u4")
-    return np.array(own.encode(text, add_special_tokens=False).ids, "<u4")
-
-
 def _cut(path: str | None, sequence: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = path
-        if where is None:
-            import public_tokenizers
-
-            where = public_tokenizers.path("byte_bpe_50k.json")
+        ids_of, part, ranks = tokens(path).ids, TaskContext.get().partitionId(), [0] * (sequence + 1)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(token_ids(text.as_py() or "", where), np.uint32(end)).astype("<u4")
+                ids = np.append(ids_of(text.as_py() or ""), np.uint32(end)).astype("<u4")
                 n = len(ids)
-                rows += [(doc, a, min(sequence, n - a), zlib.crc32(ids[a : a + sequence].tobytes()), n) for a in range(0, n, sequence)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=names)
+                for a in range(0, n, sequence):
+                    length = min(sequence, n - a)
+                    rows.append((doc, a, length, zlib.crc32(ids[a : a + sequence].tobytes()), n, part, ranks[length]))
+                    ranks[length] += 1
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], names=names)
 
     return run
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and an ``end``, cut at multiples of ``sequence``.
+    """doc_id, start, length, ids_crc32, doc_tokens, part, rank: each document's ids and an ``end``, cut at multiples of
+    ``sequence``; a piece is the ``rank``-th of its length in the task ``part``.
 
     A null text counts as empty and yields its end alone. ``path`` names the tokenizer's file (default: the public one).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_cut(path, sequence, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(_cut(path, sequence, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long")
 
 
 def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -246,17 +212,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     Each row of ``docs`` is packed, rows with null or repeated ids and with empty or null texts too. Sequences are
     numbered from 0 without gaps, their pieces laid end to end from offset 0. An empty table gives no row.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     cut = scratch.write(pieces(docs, id_col, text_col, path, sequence, end))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    counts = scratch.write(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")))
+    counts = scratch.write(cut.groupBy("length", "part").agg((F.max("rank") + 1).alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row for each length
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = cut.withColumn("row", rank).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("row") - 1)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = scratch.write(counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("base")))
+    ranked = cut.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank"))
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     rules = slots(solve(histogram, sequence))
     return ranked.select(*fields, "rank").mapInArrow(_deal(rules), ", ".join(f"{c} long" for c in [*fields, "sequence_id", "offset"]))

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import hashlib
+
 import pytest
 from lontar.llm import chaining, chat, licenses, mixing, multi_index, packing, pii, quality, simhash, transport
 from lontar.llm.shared import Scratch, connected_components, local_components, split_hot
@@ -156,6 +158,49 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+LONG = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "word " * 400_000]
+
+
+def test_long_runs_of_one_character(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.pack(spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")).collect()
+    for i, text in enumerate(LONG):
+        ids = np.array([*own.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        pieces = sorted((r for r in out if r.doc_id == i), key=lambda r: r.start)
+        assert [r.ids_crc32 for r in pieces] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces] and sum(r.length for r in pieces) == len(ids)
+    turns = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(LONG)], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.read_back(*chat.prefix_tree(turns, Scratch(spark))).collect()}
+    assert [found[i].loss_sha256 for i in range(4)] == [hashlib.sha256(t.encode()).hexdigest() for t in LONG]
+
+
+def test_ids_are_the_tokenizers(spark):
+    import random
+
+    from lontar.llm.tokens import tokens
+
+    random.seed(4)
+    alphabet = [*" \t\n\r\x85\xa0\u1680\u2003\u3000\x1c\u180e\u200b'sl0aé你.\u0301\U0001f600", "<|endoftext|>", "  ", " '", "'ll "]
+    for plain in (False, True):
+        t = tokens(None, plain)
+        for _ in range(3000):
+            s = "".join(random.choices(alphabet, k=random.randint(0, 30)))
+            assert t.ids(s).tolist() == t.own.encode(s, add_special_tokens=False).ids
+            if plain:
+                assert b"".join(t.bytes_of[i] for i in t.ids(s).tolist()).decode() == s
+
+
+def test_repeated_rows_are_ranked_by_many_tasks(spark):
+    docs = spark.range(0, 4000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    out = packing.pack(docs)
+    assert out.groupBy("sequence_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("k"), F.max("offset").alias("m")).where("n <> k or n <> m + 1 or n > 1024").count() == 0 and out.count() == 4000
+
+
 def test_cutting_stock():
     import random
 
@@ -198,8 +243,6 @@ def test_chat(spark):
     nodes, convs = chat.prefix_tree(turns, Scratch(spark))
     out = {r.conv_id: r for r in chat.read_back(nodes, convs).collect()}
     assert {k: r.n_turns for k, r in out.items()} == {1: 3, 2: 3, 3: 1, 4: 2, 5: 1, None: 1} and out[2].loss_chars == 3 and out[1].loss_chars == 0
-    import hashlib
-
     assert out[5].turns_sha256 == hashlib.sha256(b"ro\nle\\n\nx\\n<|\n").hexdigest()
     stream = sorted(nodes.collect(), key=lambda r: r.start)
     assert len(stream) == 8  # shared turns stand once
@@ -210,6 +253,16 @@ def test_chat(spark):
     assert chat.read_back(*chat.prefix_tree(turns.limit(0), Scratch(spark))).count() == 0
 
 
+def test_ancestors_are_merged(spark):
+    turns = spark.createDataFrame([(c, t, "user", f"said {t if t < 40 else (c, t)}") for c in range(6) for t in range(60)] + [(None, 0, "user", "said 0")] * 3, "conv_id long, turn long, role string, text string")
+    nodes, convs = chat.prefix_tree(turns, Scratch(spark))
+    found = nodes.collect()
+    assert len(found) == 40 + 6 * 20 and max(len(n.ancestors) for n in found) <= 2
+    assert all(n.first_position == sum(a.stop - a.start for a in n.ancestors) for n in found)
+    out = chat.read_back(nodes, convs).collect()
+    assert sorted((r.conv_id is None, r.n_turns) for r in out) == [(False, 60)] * 6 + [(True, 1)] * 3
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None), (6, 0), (6, 1)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
