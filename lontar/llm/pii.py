@@ -8,8 +8,13 @@ A value is read as symbols, each with its own radix (digits 10, letters 26, hexa
 security number's parts 898 x 99 x 9999), and permuted by a keyed Feistel network: in each of ``ROUNDS`` rounds the
 symbols of one half are shifted, each modulo its radix, by SHA-256 of the key, the kind and the other half. This is a
 permutation of the values of a format, so different values stay different, and equal ones get equal pseudonyms in every
-document, however they are punctuated or capitalised. A card number's check digit is made anew; a date's day number is
-permuted within its 65,536-day window (1790-07-26 to 1969-12-31, 1970-01-01 to 2149-06-06, and so on).
+document, however they are punctuated or capitalised. A card number's check digit is made anew. A date from 1611-02-11
+to 2328-11-11, written year first or day first, has its day number permuted within its 65,536-day window (1970-01-01 to
+2149-06-06, and so on). A date that can only be read month first (1600 to 2399) is permuted among such dates, so that no
+two written values get the same pseudonym; it isn't linked to the same day in another order. A secret of both cases is
+permuted over 22 symbols; hexadecimal runs of digits alone or of letters alone stay.
+
+The key is a row of its own that the plan reads as a scalar subquery: plans, event logs and the UI don't show it.
 """
 
 from __future__ import annotations
@@ -56,10 +61,10 @@ def _quoted(s: str) -> str:
 
 
 def feistel(values: str, radices: str, kind: str, key: str) -> str:
-    """SQL for the permuted array<bigint> ``values`` under ``radices``, both named columns or lambda variables."""
+    """SQL for the permuted array<bigint> ``values`` under ``radices``; these and ``key`` name columns or lambda variables."""
 
     def shifted(side: str, other: str, after: str) -> str:
-        digest = f"sha2(concat_ws('|', {_quoted(key)}, '{kind}', n, i, array_join(transform(s.{other}, y -> cast(y as string)), ',')), 256)"
+        digest = f"sha2(concat_ws('|', {key}, '{kind}', n, i, array_join(transform(s.{other}, y -> cast(y as string)), ',')), 256)"
         shift = f"cast(conv(substring({digest}, 1, 13), 16, 10) as bigint)"
         return f"transform(s.{side}, (x, i) -> pmod(x + {shift}, {radices}[{after} + i]))"
 
@@ -118,10 +123,12 @@ def _email(key: str) -> str:
 
 
 def _secret(key: str) -> str:
-    values = f"transform({_chars('lower(m)')}, c -> cast(conv(c, 16, 10) as bigint))"
-    fresh = _let("vs", values, _let("rs", _same("vs", 16), f"transform({feistel('vs', 'rs', 'secret', key)}, v -> lower(hex(v)))"))
-    joined = f"array_join({fresh}, '')"
-    return f"if(m rlike '[0-9]' and m rlike '[A-Fa-f]' and m rlike '^([0-9a-f]*|[0-9A-F]*)$', if(m rlike '[A-F]', upper({joined}), {joined}), m)"
+    """Of one case over 16 symbols, of both over 22."""
+    signs = "if(m rlike '[a-f]' and m rlike '[A-F]', '0123456789abcdefABCDEF', if(m rlike '[A-F]', '0123456789ABCDEF', '0123456789abcdef'))"
+    values = f"transform({_chars('m')}, c -> cast(locate(c, a) - 1 as bigint))"
+    radices = "transform(vs, c -> cast(length(a) as bigint))"
+    fresh = _let("vs", values, _let("rs", radices, f"array_join(transform({feistel('vs', 'rs', 'secret', key)}, v -> substring(a, cast(v as int) + 1, 1)), '')"))
+    return f"if(m rlike '[0-9]' and m rlike '[A-Fa-f]', {_let('a', signs, fresh)}, m)"
 
 
 def _ip(key: str) -> str:
@@ -140,14 +147,39 @@ def _ssn(key: str) -> str:
 def _date(key: str) -> str:
     """Year first, or year last with the day first unless only the month can be."""
     iso = "m rlike '^[0-9]{4}'"
-    day_first = "(cast(substring(m, 4, 2) as int) <= 12)"
-    day = f"if({iso}, try_to_date(regexp_replace(m, '[/.]', '-'), 'yyyy-MM-dd'), if({day_first}, try_to_date(regexp_replace(m, '[/.]', '-'), 'dd-MM-yyyy'), try_to_date(regexp_replace(m, '[/.]', '-'), 'MM-dd-yyyy')))"
+    iso_day = "try_to_date(regexp_replace(m, '[/.]', '-'), 'yyyy-MM-dd')"
+    last_day = "try_to_date(regexp_replace(m, '[/.]', '-'), 'dd-MM-yyyy')"
     number = "datediff(d, date'1970-01-01')"
     values = f"array(cast(pmod({number}, 65536) div 256 as bigint), cast(pmod({number}, 256) as bigint))"
     fresh = f"date_add(date'1970-01-01', cast({number} - pmod({number}, 65536) + f[0] * 256 + f[1] as int))"
-    written = f"if({iso}, concat_ws(substring(m, 5, 1), date_format(e, 'yyyy'), date_format(e, 'MM'), date_format(e, 'dd')), if({day_first}, concat_ws(substring(m, 3, 1), date_format(e, 'dd'), date_format(e, 'MM'), date_format(e, 'yyyy')), concat_ws(substring(m, 3, 1), date_format(e, 'MM'), date_format(e, 'dd'), date_format(e, 'yyyy'))))"
+    written = f"if({iso}, concat_ws(substring(m, 5, 1), date_format(e, 'yyyy'), date_format(e, 'MM'), date_format(e, 'dd')), concat_ws(substring(m, 3, 1), date_format(e, 'dd'), date_format(e, 'MM'), date_format(e, 'yyyy')))"
     permuted = _let("vs", values, _let("rs", "array(256L, 256L)", _let("f", feistel("vs", "rs", "date", key), _let("e", fresh, written))))
-    return _let("d", day, f"if(d is null, m, {permuted})")
+    by_day = _let("d", f"if({iso}, {iso_day}, {last_day})", f"if(d is null or not {number} between -131072 and 131071, m, {permuted})")
+    month_first = f"not {iso} and cast(substring(m, 1, 2) as int) <= 12 and cast(substring(m, 4, 2) as int) > 12"
+    return f"if({month_first}, {_month_first(key)}, {by_day})"
+
+
+def _month_first(key: str) -> str:
+    """A month-first date with a day over 12. The 13th to 28th of any month are permuted with month and year; the 29 later
+    days that each year has, with the year; a leap day among leap years, those of full centuries by themselves."""
+    d = "try_to_date(regexp_replace(m, '[/.]', '-'), 'MM-dd-yyyy')"
+    year = "cast(year(d) - 1600 as bigint)"
+    # 29th and 30th of all months but February, 31st of seven: numbered in order of month and day.
+    late = "array(" + ", ".join(f"{m * 100 + x}L" for m, n in zip(range(1, 13), (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), strict=True) for x in range(29, n + 1)) + ")"
+    parts = {
+        "day(d) < 29": (f"array({year}, cast(month(d) - 1 as bigint), cast(day(d) - 13 as bigint))", "array(800L, 12L, 16L)", "f[0] + 1600", "(f[1] + 1) * 100 + f[2] + 13"),
+        "month(d) <> 2": (f"array({year}, cast(array_position({late}, cast(month(d) * 100 + day(d) as bigint)) - 1 as bigint))", "array(800L, 29L)", "f[0] + 1600", f"{late}[f[1]]"),
+        "year(d) % 400 <> 0": (f"array({year} div 100, cast(year(d) % 100 div 4 - 1 as bigint))", "array(8L, 24L)", "1600 + 100 * f[0] + 4 * (f[1] + 1)", "229"),
+        "true": (f"array({year} div 400)", "array(2L)", "1600 + 400 * f[0]", "229"),
+    }
+
+    def made(k: int, values: str, radices: str, year: str, month_day: str) -> str:
+        both = f"lpad(cast({month_day} as string), 4, '0')"
+        written = _let("w", both, f"concat_ws(substring(m, 3, 1), substring(w, 1, 2), substring(w, 3, 2), lpad(cast({year} as string), 4, '0'))")
+        return _let("vs", values, _let("rs", radices, _let("f", feistel("vs", "rs", f"month{k}", key), written)))
+
+    cases = " ".join(f"when {test} then {made(k, *x)}" for k, (test, x) in enumerate(parts.items()))
+    return _let("d", d, f"case when d is null or not year(d) between 1600 and 2399 then m {cases} end")
 
 
 def _card(key: str) -> str:
@@ -169,7 +201,7 @@ _MADE = {"email": _email, "secret": _secret, "ip": _ip, "ssn": _ssn, "date": _da
 
 
 def pseudonym(key: str) -> str:
-    """SQL for the pseudonym of the match ``m``, which is ``m`` itself if it isn't valid."""
+    """SQL for the pseudonym of the match ``m``, which is ``m`` itself if it isn't valid; ``key`` names a column."""
     cases = " ".join(f"when m rlike {_quoted(f'^(?:{_alone(_SHAPES[kind])})$')} then {make(key)}" for kind, make in _MADE.items())
     return f"case {cases} else m end"
 
@@ -177,14 +209,16 @@ def pseudonym(key: str) -> str:
 def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced; ``count_col`` (long), if named, counts replaced values.
 
-    A null text stays null (count 0), an empty one empty. Other columns stay, whatever their names.
+    A null text stays null (count 0), an empty one empty. Other columns stay, whatever their names. Rows don't depend on
+    each other: null, repeated and tied ids are rows like any other, and an empty table gives an empty one.
     """
-    private = free_name(docs, "_private")
+    private, secret = free_name(docs, "_private"), free_name(docs, "_key")
     text = f"`{text_col}`"
     found = f"regexp_extract_all({text}, {_quoted(ANY)}, 0)"
-    paired = f"transform({found}, m -> named_struct('was', m, 'is', {pseudonym(key)}))"
+    paired = f"transform({found}, m -> named_struct('was', m, 'is', {pseudonym(f'`{secret}`')}))"
     some = F.col(f"`{text_col}`").rlike("[0-9@]")  # each kind holds a digit or, as an address may, only an @
-    out = docs.withColumn(private, F.when(some, F.expr(paired)))
+    keyed = docs.withColumn(secret, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    out = keyed.withColumn(private, F.when(some, F.expr(paired))).drop(secret)
     merged = F.expr(f"array_join(transform(split({text}, {_quoted(ANY)}, -1), (p, i) -> concat(p, coalesce(get({private}, i).is, ''))), '')")
     if count_col:
         out = out.withColumn(count_col, F.coalesce(F.expr(f"size(filter({private}, x -> x.was <> x.is))"), F.lit(0)).cast("long"))

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of our own if
+    all run on this machine, as in tests; on a cluster there is none that all can see, and it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lontar-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
