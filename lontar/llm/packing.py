@@ -35,11 +35,11 @@ STEPS = 8
 
 def _cut(path: str | None, sequence: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, ranks = tokens(path).ids, TaskContext.get().partitionId(), [0] * (sequence + 1)
-        for batch in batches:
+        ids_of, part, ranks = tokens(path).batch, TaskContext.get().partitionId(), [0] * (sequence + 1)
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, max(1, whole.num_rows), 256)):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(ids_of(text.as_py() or ""), np.uint32(end)).astype("<u4")
+            for doc, own in zip(batch.column(0).to_pylist(), ids_of([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(own, np.uint32(end)).astype("<u4")
                 n = len(ids)
                 for a in range(0, n, sequence):
                     length = min(sequence, n - a)

@@ -14,25 +14,12 @@ from functools import cache
 
 import numpy as np
 
+_SAFE = "!-~¡-ᙿ、-퟿"
 #: A space between two characters that are surely none.
-_CUT = re.compile("(?<=[!-~¡-ᙿ、-퟿]) (?=[!-~¡-ᙿ、-퟿])")
+_CUT = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
+_SAFE_END = re.compile(f"[{_SAFE}]\\Z")
 #: Parts remembered at most, and characters of one at most.
-_HELD, _LONG = 500_000, 32
-
-
-class _Parts(dict):
-    """Ids of a space and a part, as little-endian 32-bit numbers."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, part: str) -> bytes:
-        value = self.encode(" " + part)
-        if len(part) <= _LONG:
-            if len(self) >= _HELD:
-                self.clear()
-            self[part] = value
-        return value
+_HELD, _LONG = 1_500_000, 32
 
 
 class Tokens:
@@ -45,15 +32,53 @@ class Tokens:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = plain
         self.size = self.own.get_vocab_size()
-        self.parts = _Parts(self._encoded)
-
-    def _encoded(self, text: str) -> bytes:
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.parts: dict[str, bytes] = {}  # ids of a space and a part, as little-endian 32-bit numbers
+        self.widths = np.array([len(b) for b in self.bytes_of])
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # fast: without offsets
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Tokenise parts one behind the other, and tell their ids apart by the bytes that these stand for."""
+        ids = self._encoded(" " + " ".join(fresh))
+        ends = np.cumsum([len(p.encode()) + 1 for p in fresh])
+        cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+        raw = memoryview(ids.tobytes())
+        at = 0
+        for part, stop in zip(fresh, (4 * cuts).tolist(), strict=True):
+            self.parts[part] = bytes(raw[at:stop])
+            at = stop
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of ``text`` as 32-bit numbers."""
-        first, *rest = _CUT.split(text)
-        return np.frombuffer(self._encoded(first) + b"".join(map(self.parts.__getitem__, rest)), "<u4")
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """``ids`` of each text."""
+        cut = [_CUT.split(t) for t in texts]
+        if len(self.parts) > _HELD:
+            self.parts.clear()
+        fresh: set[str] = set()
+        for parts in cut:
+            # What ends a text may end in white space, which must not get a neighbour.
+            fresh.update(parts[1:-1] if len(parts) > 1 and not _SAFE_END.search(parts[-1]) else parts[1:])
+        fresh.difference_update(self.parts)
+        if fresh:
+            self._learn(list(fresh))
+        out = []
+        for first, *rest in cut:
+            found = [self._encoded(first).tobytes()]
+            if rest and not _SAFE_END.search(rest[-1]):
+                last = self._encoded(" " + rest.pop()).tobytes()
+                found += map(self.parts.__getitem__, rest)
+                found.append(last)
+            else:
+                found += map(self.parts.__getitem__, rest)
+            out.append(np.frombuffer(b"".join(found), "<u4"))
+        for part in fresh:
+            if len(part) > _LONG:
+                del self.parts[part]
+        return out
 
     @property
     def bytes_of(self) -> list[bytes]:
