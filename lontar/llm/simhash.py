@@ -12,6 +12,12 @@ all their codes agree, and a whole run is pruned if the differences on bits that
 distance; what is left is compared code by code. A top node of over ``MOST`` codes is dealt to several tasks by
 pairs of its chunks. Links are reduced to spanning edges where they are found; exact copies never get there, since
 the index holds distinct fingerprints only.
+
+Near copies (``keep_one``). Documents whose sets of word 5-shingles have a Jaccard similarity of 0.8 differ in 15 % of
+fingerprint bits at most, which is more than choices of whole segments can index. So a wider fingerprint is taken, of
+``WIDE`` x 64 bits over these sets, the top nodes are the patterns under random masks of as many bits as the corpus's
+size asks for, and there are as many masks as ``RECALL`` of pairs at that similarity need. Under a top node differences
+are accumulated word by word, and runs are pruned as above. Pairs at ``APART`` or fewer bits link.
 """
 
 from __future__ import annotations
@@ -33,6 +39,11 @@ MOST = 2048
 #: Codes that a top node should hold on average at most.
 NODE = 1024
 _BLOCK = 1 << 16
+SHINGLE = 5
+#: 64-bit words of the wider fingerprint, differing bits at which it links, share of pairs at similarity 0.8 that masks find.
+WIDE, APART, RECALL = 4, 50, 0.97
+#: Share of bits that differ at similarity 0.8, where the angle of two sets' vectors has the cosine 2 x 0.8 / 1.8.
+_SHARE = float(np.arccos(1.6 / 1.8) / np.pi)
 
 
 def fingerprint(text: bytes) -> int:
@@ -188,9 +199,162 @@ def hex16(col: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(col))), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, columns as they were; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, distance)
+def shingles(text: bytes) -> np.ndarray:
+    """Hashes of the distinct word 5-shingles in order; a shorter text is one shingle, one without words has none."""
+    words = text.lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if n < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: n - SHINGLE + 1].tolist()
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """The majority of the hashes, bit by bit, under each of ``WIDE`` mixings, as signed 64-bit words."""
+    votes = np.zeros((WIDE, 64), np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        for k in range(WIDE):
+            h = hashes[at : at + _BLOCK] + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+            h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            votes[k] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits((votes * 2 > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
+
+
+def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1).cast(pa.binary())]
+        sets = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in found], np.uint64).view(np.int64)
+        prints = [wide(h) if len(h) else None for h in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "set", "print"])
+
+
+def random_masks(rows: int) -> list[list[int]]:
+    """Masks of WIDE words: of log2(rows) bits, so that a pattern is shared by chance about once, and as many as RECALL needs."""
+    bits = min(48, max(8, int(np.ceil(np.log2(max(rows, 2))))))
+    n = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - _SHARE) ** bits)))
+    rng = np.random.default_rng(SEED)
+    out = []
+    for _ in range(n):
+        chosen = rng.choice(64 * WIDE, bits, replace=False)
+        out.append([sum(1 << int(b) % 64 for b in chosen if b // 64 == k) for k in range(WIDE)])
+    return out
+
+
+def wide_pairs(codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of ``codes`` (n x WIDE, uint64, in Gray order of the first word) at ``distance`` or fewer bits.
+
+    Differences of two runs on bits that both share are accumulated word by word; a pair of runs leaves as soon as they
+    exceed ``distance``, and so does a pair of codes.
+    """
+    n = len(codes)
+    starts = np.arange(0, n, LEAF)
+    ones = np.bitwise_and.reduceat(codes, starts)
+    agree = ones | ~np.bitwise_or.reduceat(codes, starts)
+    for k, start in enumerate(starts):
+        near, apart = np.arange(k, len(starts)), 0
+        for w in range(codes.shape[1]):
+            apart = apart + np.bitwise_count((ones[near, w] ^ ones[k, w]) & agree[near, w] & agree[k, w]).astype(np.int64)
+            near, apart = near[apart <= distance], apart[apart <= distance]
+        others = (starts[near][:, None] + np.arange(LEAF)).ravel()
+        others = others[others < n]
+        own = np.arange(start, min(start + LEAF, n))
+        a, b = np.repeat(own, len(others)), np.tile(others, len(own))
+        a, b = a[a < b], b[a < b]
+        apart = np.zeros(len(a), np.int64)
+        for w in range(codes.shape[1]):
+            apart += np.bitwise_count(codes[a, w] ^ codes[b, w])
+            keep = apart <= distance
+            a, b, apart = a[keep], b[keep], apart[keep]
+        if len(a):
+            yield a, b
+
+
+def _wide_links(distance: int):
+    """Rows (node, part_i, part_j, rep, w0..) sorted by the first three -> spanning edges of what links under a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        count = 0
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal found, count
+            found.append(np.stack([a, b]))
+            count += len(a)
+            if count > 2_000_000:
+                found = [np.stack(spanning(*np.concatenate(found, axis=1)))]
+                count = found[0].shape[1]
+
+        def groups(m: np.ndarray) -> None:
+            """Rows of whole groups."""
+            codes = m[4:].T.copy().view(np.uint64)
+            first = np.append(0, np.flatnonzero((np.diff(m[:3]) != 0).any(axis=0)) + 1)
+            sizes = np.diff(np.append(first, m.shape[1]))
+            for size in range(2, LEAF // 2):  # small groups of one size at once
+                at = first[sizes == size][:, None]
+                if len(at):
+                    i, j = np.triu_indices(size, 1)
+                    a, b = (at + i).ravel(), (at + j).ravel()
+                    near = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1) <= distance
+                    add(m[3, a[near]], m[3, b[near]])
+            for at, size in zip(first[sizes >= LEAF // 2], sizes[sizes >= LEAF // 2], strict=True):
+                order = at + np.argsort(gray_rank(codes[at : at + size, 0]), kind="stable")
+                for a, b in wide_pairs(codes[order], distance):
+                    add(m[3, order[a]], m[3, order[b]])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4 + WIDE)])
+            last = int(np.flatnonzero((m[:3] != m[:3, -1:]).any(axis=0))[-1] + 1) if (m[:3, 0] != m[:3, -1]).any() else 0
+            if last:
+                groups(np.concatenate([*held, m[:, :last]], axis=1))
+                held = [m[:, last:]]
+            elif held and (held[-1][:3, -1] != m[:3, 0]).any():
+                groups(np.concatenate(held, axis=1))
+                held = [m]
+            else:
+                held.append(m)
+        if held:
+            groups(np.concatenate(held, axis=1))
+        if found:
+            a, b = spanning(*np.concatenate(found, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", distance: int = APART, most: int = MOST) -> DataFrame:
+    """(doc_id, component_id) of the rows of ``docs`` that have an id: the smallest id that links of near copies reach.
+
+    A null text counts as empty, and texts without words are copies of each other only.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    read = scratch.write(rows.mapInArrow(_wide_prints, "doc_id long, set long, print array<long>"))
+    reps = scratch.write(read.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("print").alias("print")))
+    known = reps.where("print is not null")
+    masks = [[m - (1 << 64) if m >> 63 else m for m in mask] for mask in random_masks(known.count())]
+    tops = F.array(*[F.xxhash64(F.lit(k), *[F.col("print")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(mask) if m]) for k, mask in enumerate(masks)])
+    nodes = known.select("rep", *[F.col("print")[w].alias(f"w{w}") for w in range(WIDE)], F.explode(tops).alias("node"))
+    dealt = split_hot(nodes, "node", "rep", most, scratch).select("node", "part_i", "part_j", "rep", *[f"w{w}" for w in range(WIDE)])
+    dealt = dealt.repartition("node", "part_i", "part_j").sortWithinPartitions("node", "part_i", "part_j")
+    classes = connected_components(dealt.mapInArrow(_wide_links(distance), "a long, b long"), scratch)
+    roots = scratch.write(reps.join(classes, reps.rep == classes.node, "left").select("set", F.coalesce("component", "rep").alias("component_id")))
+    return read.select("doc_id", "set").join(roots, "set").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = APART) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its class of near copies, columns as they were; rows with a null
+    id stay, and repeated rows of an id that stays all do. An empty table gives an empty one."""
+    scratch = Scratch(docs.sparkSession)
     copy = free_name(docs, "_copy")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct()
+    found = near_copies(docs, scratch, id_col, text_col, distance)
+    drop = scratch.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct())
     return docs.join(drop, F.col(id_col).cast("long") == F.col(copy), "left_anti")

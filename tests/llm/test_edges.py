@@ -47,6 +47,38 @@ def test_hot_node(spark):
     assert {r.node: r.component for r in found} == {i: x for i, x in enumerate(label) if x != i}
 
 
+def test_wide_fingerprints(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(1 << 63, size=(40, simhash.WIDE), dtype=np.uint64)
+    codes = np.concatenate([base, base[:20], base[:20], rng.integers(1 << 63, size=(60, simhash.WIDE), dtype=np.uint64)])
+    for k in range(40, 80):
+        for bit in rng.choice(256, int(rng.integers(1, 60)), replace=False):
+            codes[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    codes = codes[np.argsort(simhash.gray_rank(codes[:, 0]))]
+    found = sorted((int(a), int(b)) for x, y in simhash.wide_pairs(codes, 30) for a, b in zip(x, y, strict=True))
+    assert found == [(a, b) for a in range(len(codes)) for b in range(a + 1, len(codes)) if int(np.bitwise_count(codes[a] ^ codes[b]).sum()) <= 30]
+
+
+def test_near_copies_of_one_text(spark, monkeypatch):
+    """A large group of near copies, dealt to many tasks, is one class; others stay by themselves."""
+    import random
+
+    random.seed(6)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 120):
+        own = list(words)
+        for k in random.sample(range(150), random.randint(1, 2)):
+            own[k] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(f"v{random.randint(0, 500)}" for _ in range(120))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs, Scratch(spark), most=16).collect()}
+    assert all(found[i] == (0 if i < 1000 else i) for i, _ in rows)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     out = {r.node: r.component for r in connected_components(edges, Scratch(spark)).collect()}
