@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm.copies import keep_one
 from lontar.llm.mixing import mixed
 from lontar.llm.packing import pack
 from lontar.llm.pii import with_pseudonyms
 from lontar.llm.quality import keep_good
 from lontar.llm.shared import Scratch
+from lontar.llm.simhash import keep_one
 from lontar.session import ship
 
 #: Target token shares: toxic text is brought down to this, other text stays whole.
@@ -27,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (Jaccard similarity of word 5-shingles 0.8 at least) the document of smallest id stays."""
+    """Of each class of near copies (SimHash of word 5-shingles, at the distance of a similarity of 0.8) the document of
+    smallest id stays."""
     return keep_one(docs)
 
 
