@@ -6,6 +6,7 @@ Word characters are letters, digits and underscore of any script. Suffix functio
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 WORD = r"[\p{L}\p{N}_]"
 #: Leading question and function words that don't name an entity.
 QUERY_STOPWORDS = ["Apa", "Siapa", "Kapan", "Mengapa", "Bagaimana", "Berapa", "Mana", "Di", "Dari", "Ke", "Yang", "Pada", "Untuk", "Dengan", "Dalam", "Adalah", "Akan", "Itu", "Ini"]
+#: Fixed value: what counts as a run of capitalised words.
 _ENTITY = r"(?<![\p{L}\p{N}_])[A-Z](?:[\p{L}\p{N}_]|[À-ÿ])*(?:\s+[A-Z](?:[\p{L}\p{N}_]|[À-ÿ])*)*"
 _SENTENCE = r"[^.!?]+[.!?]?"
 
@@ -142,19 +144,21 @@ def _cut(text: Column, word: str, suffix: str, window: int) -> Column:
     return F.aggregate(pieces, start, step, lambda state: state["out"])
 
 
-def occurrences(text: Column, known: Column, suffix: str = "nya", window: int = 2) -> Column:
+def occurrences(text: Column, known: Column, suffix: str = "nya", window: int = 2, tagger: Callable[[Column], Column] | None = None) -> Column:
     """Clitic occurrences whose root is known: array of (start, stop, token, host, root, antecedent, function).
 
-    The context of an occurrence is all text to its left. function: anaphoric with an antecedent, else possessive.
+    The context of an occurrence is all text to its left. function: nominaliser where ``tagger`` (from a root to its
+    part of speech) says VERB, else anaphoric with an antecedent, else possessive.
     """
     shape = rf"(?i)^(([A-Za-zÀ-ÿ]+){suffix})(?!{WORD})"
 
     def one(c: Column) -> Column:
         token, host = F.regexp_extract(c["piece"], shape, 1), F.regexp_extract(c["piece"], shape, 2)
 
-
         def labelled(found: Column) -> Column:
             kind = F.when(found.isNotNull(), "anaphoric").otherwise("possessive")
+            if tagger:
+                kind = F.when(tagger(host) == "VERB", "nominaliser").otherwise(kind)
             return F.struct(c["at"].alias("start"), (c["at"] + F.length(token)).alias("stop"), token.alias("token"), host.alias("host"), host.alias("root"), found.alias("antecedent"), kind.alias("function"))
 
         return _let(antecedent(c["left"], suffix, window), labelled)
@@ -163,9 +167,9 @@ def occurrences(text: Column, known: Column, suffix: str = "nya", window: int =
     return F.transform(clitics, one)
 
 
-def resolved(text: Column, known: Column, suffix: str = "nya", window: int = 2) -> Column:
+def resolved(text: Column, known: Column, suffix: str = "nya", window: int = 2, tagger: Callable[[Column], Column] | None = None) -> Column:
     """Each anaphoric occurrence gives way to its root and antecedent."""
-    found = F.filter(occurrences(text, known, suffix, window), lambda o: o["antecedent"].isNotNull())
+    found = F.filter(occurrences(text, known, suffix, window, tagger), lambda o: o["function"] == "anaphoric")
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def step(state: Column, o: Column) -> Column:

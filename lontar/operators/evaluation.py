@@ -112,3 +112,25 @@ def nested_judgments(rows: DataFrame, negatives: bool = False) -> DataFrame:
 
     out = side("positive_passages", 1)
     return out.unionByName(side("negative_passages", 0)) if negatives else out
+
+
+def judgment_counts(rows: DataFrame, negatives: bool = False) -> DataFrame:
+    """One row: queries read, without an id, without a passage; judgments, and passages without an id."""
+    from lontar.functions.text import first_filled
+
+    def named(p: F.Column) -> F.Column:
+        return first_filled(p["docid"], p["doc_id"], p["id"]).isNotNull()
+
+    empty = F.array()
+    lists = [F.coalesce(c, empty.cast(dict(rows.dtypes)[c])) for c in ("positive_passages", *(["negative_passages"] if negatives else []))]
+    every = F.concat(*lists)
+    has_id = first_filled(F.col("query_id"), F.col("id")).isNotNull()
+    sizes = rows.select(has_id.alias("known"), F.size(every).alias("n"), F.size(F.filter(every, named)).alias("good"))
+    known = F.col("known")
+    return sizes.agg(
+        F.count("*").alias("queries"),
+        F.count_if(~known).alias("queries_without_id"),
+        F.count_if(known & (F.col("n") == 0)).alias("queries_without_passages"),
+        F.coalesce(F.sum(F.when(known, F.col("good"))), F.lit(0)).alias("judgments"),
+        F.coalesce(F.sum(F.when(known, F.col("n") - F.col("good"))), F.lit(0)).alias("passages_without_id"),
+    )

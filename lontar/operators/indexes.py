@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lontar.errors import BadInput
 from lontar.functions.text import tokens, unit_vector
-from lontar.operators.retrieval import Analyzer, analyzed, collection, document_frequencies, nearest, postings, top_k
+from lontar.operators.retrieval import Analyzer, analyzed, collection, document_frequencies, nearest, postings, query_terms, top_k
 
 
 def write_bm25(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", analyzer: Analyzer = tokens) -> None:
@@ -23,13 +23,13 @@ def write_bm25(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
 def search_bm25(spark: SparkSession, path: str, queries: DataFrame, k: int = 1000, k1: float = 0.9, b: float = 0.4, analyzer: Analyzer = tokens, digits: int = 6) -> DataFrame:
     """query_id, doc_id, score, rank; equals ``bm25`` over the documents of the index."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(analyzer(F.col("text")))).alias("term"))
+    wanted = query_terms(queries, analyzer)
     df, posted, stats = (spark.read.parquet(f"{path}/{n}") for n in ("frequencies", "postings", "collection"))
     weighted = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    scored = posted.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * F.col("tf") / norm), digits).alias("score"))
-    return top_k(scored, k)
+    scored = posted.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(idf * F.col("tf") / norm * F.col("qtf")).alias("score"))
+    return top_k(scored, k).withColumn("score", F.round("score", digits))
 
 
 def write_dense(vectors: DataFrame, path: str, doc_id: str = "doc_id", vector: str = "embedding", model: str = "") -> None:

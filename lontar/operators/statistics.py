@@ -25,8 +25,10 @@ def run_id(retriever: Column, strategy: Column) -> Column:
 
 
 def _first(values: DataFrame, strata: list[str]) -> DataFrame:
-    """One value for each (stratum, query, condition): the smallest of repeated ones; nulls go."""
-    return values.where("value is not null").groupBy(*strata, "query_id", "condition").agg(F.min("value").alias("value"))
+    """One value for each (stratum, query, condition): of repeated ones the first by ``place`` where rows have one, as
+    those read from files do, and else the smallest; nulls go."""
+    pick = F.min_by("value", "place") if "place" in values.columns else F.min("value")
+    return values.where("value is not null").groupBy(*strata, "query_id", "condition").agg(pick.alias("value"))
 
 
 def condition_pairs(values: DataFrame, strata: list[str] | None = None) -> DataFrame:
@@ -161,14 +163,22 @@ def friedman(values: DataFrame) -> DataFrame:
     return out.select("retriever_family", "conditions", F.coalesce("n", F.lit(0)).alias("paired_queries"), "friedman_statistic", chi_square_tail("friedman_statistic", (F.col("k") - 1).cast("long")).alias("friedman_p_value"))
 
 
-def effect_rows(values: DataFrame, baseline: str, resamples: int = 10_000) -> DataFrame:
-    """condition, mean_delta, ci_low, ci_high, cliffs_delta, n_pairs of each other condition against ``baseline``."""
+def effect_rows(values: DataFrame, baseline: str, resamples: int | None = 10_000) -> DataFrame:
+    """condition, mean_delta, ci_low, ci_high, cliffs_delta, n_pairs of each other condition against ``baseline``.
+
+    A condition that has no query in common with it is an error. ``resamples`` of None leaves the interval out.
+    """
     one = _first(values, [])
     base = one.where(F.col("condition") == baseline).select("query_id", F.col("value").alias("a"))
     pairs = one.where(F.col("condition") != baseline).select("query_id", "condition", F.col("value").alias("b")).join(base, "query_id")
     keys = ["condition"]
     means = pairs.groupBy("condition").agg(F.avg(F.col("b") - F.col("a")).alias("mean_delta"), F.count("*").alias("n_pairs"))
-    return means.join(bootstrap(pairs, keys, resamples), keys).join(cliffs_delta(pairs, keys), keys).select("condition", "mean_delta", "ci_low", "ci_high", "cliffs_delta", "n_pairs")
+    every = one.where(F.col("condition") != baseline).select("condition").distinct().join(means, keys, "left")
+    found = F.when(F.col("n_pairs").isNotNull(), F.col("n_pairs")).otherwise(F.raise_error(F.concat(F.lit("no query in common with the baseline: "), "condition")))
+    out = every.withColumn("n_pairs", found).join(cliffs_delta(pairs, keys), keys, "left")
+    if resamples is None:
+        return out.select("condition", "mean_delta", "cliffs_delta", "n_pairs")
+    return out.join(bootstrap(pairs, keys, resamples), keys, "left").select("condition", "mean_delta", "ci_low", "ci_high", "cliffs_delta", "n_pairs")
 
 
 def tertile_cuts(scores: DataFrame, column: str) -> DataFrame:

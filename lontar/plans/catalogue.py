@@ -45,15 +45,24 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 _W = r"[\p{L}\p{N}_]"
 _TOKENS = rf"regexp_extract_all(lower(text), '{_W}+')"
-_INDEX = f"""idx AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS terms FROM documents),
+
+
+def _index_sql(text: str = "text") -> str:
+    return f"""idx AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower({text}), '{_W}+') AS terms FROM documents),
 stats AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avgdl FROM idx),
 posted AS MATERIALIZED (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM idx) GROUP BY ALL)"""
-_RUN = f"""{_INDEX},
-wanted AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{_W}+')) AS term FROM benchmark),
+
+
+def _run_sql(text: str = "text") -> str:
+    return f"""{_index_sql(text)},
+wanted AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower({text}), '{_W}+')) AS term FROM benchmark) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
-scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf / (tf + 0.9e0 * (1 - 0.4e0 + 0.4e0 * dl / avgdl))), 6) AS score
+scored AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf / (tf + 0.9e0 * (1 - 0.4e0 + 0.4e0 * dl / avgdl))) AS s
   FROM posted JOIN df USING (term) JOIN wanted USING (term) CROSS JOIN stats GROUP BY ALL),
-run AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 100)"""
+run AS MATERIALIZED (SELECT query_id, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, doc_id) AS rank FROM scored) WHERE rank <= 100)"""
+
+
+_INDEX, _RUN = _index_sql(), _run_sql()
 _QRELS = "qrels AS MATERIALIZED (SELECT item_id AS query_id, doc_id, 1 AS relevance FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
@@ -279,6 +288,26 @@ def query_entity(spark, d):
     return rows.select("id", X.query_entity(F.col("text")).alias("entity"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in X.QUERY_STOPWORDS)
+
+
+@register(rf"""WITH e AS (SELECT item_id AS id, unnest(regexp_extract_all(text, '(^|[^\p{{L}}\p{{N}}_])([A-Z][\p{{L}}\p{{N}}_À-ÿ]*(\s+[A-Z][\p{{L}}\p{{N}}_À-ÿ]*)*)', 2)) AS span, generate_subscripts(regexp_extract_all(text, '(^|[^\p{{L}}\p{{N}}_])([A-Z][\p{{L}}\p{{N}}_À-ÿ]*(\s+[A-Z][\p{{L}}\p{{N}}_À-ÿ]*)*)', 2), 1) AS i FROM benchmark),
+b AS (SELECT id, i, CASE WHEN regexp_split_to_array(span, '\s+')[1] IN ({_STOP}) THEN array_to_string(regexp_split_to_array(span, '\s+')[2:], ' ') ELSE span END AS span FROM e),
+k AS (SELECT id, arg_max(span, length(span) * 100000 - i) AS entity FROM b WHERE span <> '' GROUP BY id)
+SELECT item_id AS id, entity FROM benchmark LEFT JOIN k ON id = item_id""")
+def query_entities(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), X.query_entity(F.col("text")).alias("entity"))
+
+
+@register()
+def resolver_occurrences(spark, d):
+    """Detection over whole documents; tests hold it against a plain version."""
+    rows = corpus(spark, d)
+    known = X.with_known(rows, _roots(spark, d), X.host_candidates(F.col("text"), "ing"), "doc_id", "known")
+    found = known.select("doc_id", F.explode(X.occurrences(F.col("text"), F.col("known"), "ing")).alias("o"))
+    return found.select("doc_id", "o.start", "o.stop", "o.token", "o.root", "o.antecedent", "o.function")
+
+
 @register(values_sql([("q1", 1, 1, 1, 6, "low")], ["query_id", "nya_total", "nya_anaphoric", "entity_referenced", "sensitivity_score", "tertile"]))
 def sensitivity_score(spark, d):
     row = ("q1", None, "Siapa Sukarno?", None, [("d1", None, None, None, "Sukarno datang. Pidatonya juga.")], None)
@@ -319,7 +348,7 @@ def dense_l2_norm(spark, d):
 
 _NEAR = """v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 near AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_inner_product(a.e, b.e), 6) AS score FROM v a CROSS JOIN v b),
-run AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near) WHERE rank <= 10)"""
+run AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near) WHERE rank <= 10)"""  # rounded first, as the blocks round their products
 
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
@@ -421,10 +450,18 @@ def _strata(spark: SparkSession, d: str) -> DataFrame:
 _STRATA = "cuts AS (SELECT quantile_cont(c_acctbal, 1/3.0) AS low, quantile_cont(c_acctbal, 2/3.0) AS high FROM customer), strata AS (SELECT c_custkey AS query_id, CASE WHEN c_acctbal <= low THEN 'low' WHEN c_acctbal >= high THEN 'high' ELSE 'mid' END AS tertile FROM customer CROSS JOIN cuts)"
 
 
-@register(f"WITH {_PAIRS}, {_STRATA}, s AS (SELECT tertile, {_KEYS}, count(*) AS paired_queries, round(avg(b - a), 4) AS mean_delta FROM pairs JOIN strata USING (query_id) GROUP BY ALL) SELECT *, (count(*) OVER (PARTITION BY tertile, retriever_family))::BIGINT AS bonferroni_family_size FROM s")
+#: Pairs within strata: a stratum goes before the family in each key of the statements above.
+_STRATIFIED = f"{_VALUES}, {_STRATA}, " + "pairs AS MATERIALIZED (SELECT tertile, a.query_id, a.family AS retriever_family, a.condition AS condition_a, b.condition AS condition_b, a.value AS a, b.value AS b FROM vals a JOIN vals b ON a.query_id = b.query_id AND a.family = b.family AND a.condition < b.condition JOIN strata ON strata.query_id = a.query_id), " + ", ".join([_SIGNED, _CLIFF]).replace(_KEYS, f"tertile, {_KEYS}")
+
+
+@register(f"""WITH {_STRATIFIED},
+means AS (SELECT tertile, {_KEYS}, avg(b - a) AS mean_delta FROM pairs GROUP BY ALL)
+SELECT tertile, {_KEYS}, paired AS paired_queries, round(mean_delta, 4) AS mean_delta, (count(*) OVER (PARTITION BY tertile, retriever_family))::BIGINT AS bonferroni_family_size, round(cliffs_delta, 6) AS cliffs_delta,
+  round(CASE WHEN paired < 6 THEN NULL WHEN coalesce(n, 0) = 0 THEN 0 ELSE least(t_plus, t_minus) END, 4) AS statistic, round(CASE WHEN paired < 6 OR n = 0 THEN NULL ELSE (t_plus - n * (n + 1) / 4.0e0) / sqrt(n * (n + 1.0e0) * (2 * n + 1) / 24 - ties / 48) END, 6) AS z
+FROM p LEFT JOIN w USING (tertile, {_KEYS}) JOIN cliff USING (tertile, {_KEYS}) JOIN means USING (tertile, {_KEYS})""")
 def stratified_pairwise(spark, d):
     out = S.stratified_pairwise(_values(spark, d), _strata(spark, d), resamples=None)
-    return out.select("tertile", *_PAIR, "paired_queries", F.round("mean_delta_b_minus_a", 4).alias("mean_delta"), "bonferroni_family_size")
+    return out.select("tertile", *_PAIR, "paired_queries", F.round("mean_delta_b_minus_a", 4).alias("mean_delta"), "bonferroni_family_size", F.round("cliffs_delta", 6).alias("cliffs_delta"), F.round("wilcoxon_statistic", 4).alias("statistic"), F.round("wilcoxon_z", 6).alias("z"))
 
 
 @register()
@@ -437,6 +474,15 @@ def bootstrap_ci(spark, d):
     return S.bootstrap(S.condition_pairs(_values(spark, d)), _PAIR)
 
 
+_BASE = f"{_VALUES}, pairs AS MATERIALIZED (SELECT a.query_id, b.condition, a.value AS a, b.value AS b FROM vals a JOIN vals b ON a.query_id = b.query_id AND a.condition = 'F__1' AND b.condition <> 'F__1'), " + _CLIFF.replace(_KEYS, "condition")
+
+
+@register(f"WITH {_BASE}, means AS (SELECT condition, round(avg(b - a), 4) AS mean_delta, count(*) AS n_pairs FROM pairs GROUP BY condition) SELECT condition, mean_delta, n_pairs, round(cliffs_delta, 6) AS cliffs_delta FROM means JOIN cliff USING (condition)")
+def effect_sizes(spark, d):
+    out = S.effect_rows(_values(spark, d), "F__1", resamples=None)
+    return out.select("condition", F.round("mean_delta", 4).alias("mean_delta"), "n_pairs", F.round("cliffs_delta", 6).alias("cliffs_delta"))
+
+
 @register()
 def effect_rows(spark, d):
     return S.effect_rows(_values(spark, d), "F__1")
@@ -509,10 +555,28 @@ def experiment_matrix(spark, d):
     return P.with_run_id(r.crossJoin(s), F.col("retriever"), F.col("strategy"))
 
 
+_METRICS = ["ndcg_1", "ndcg_10", "recall_10", "mrr_100", "recall_100"]
+_MARKED = _STRIP.replace(chr(92) + "1" + chr(92) + "2", chr(92) + "1 <ING>" + chr(92) + "2")
+_CONDITIONS = {"keep": "text", "naive_strip": _STRIP, "sentinel": _MARKED}
+
+
+def _matrix_sql() -> str:
+    one = [f"SELECT 'bm25__{name}' AS condition, * FROM (WITH {_run_sql(text)}, {_QRELS}, {_metrics_sql((1, 10, 100))} SELECT * FROM m)" for name, text in _CONDITIONS.items()]
+    means = ", ".join(f"round(avg({m}), 5) AS {m}_mean, round(coalesce(stddev_samp({m}), 0), 5) AS {m}_std, 0::BIGINT AS {m}_missing" for m in _METRICS)
+    return f"SELECT condition, count(*) AS count, {means} FROM ({' UNION ALL '.join(one)}) GROUP BY condition"
+
+
+@register(_matrix_sql())
+def matrix_bm25(spark, d):
+    """The matrix's conditions that SQL can rewrite texts for."""
+    rows = P.evaluate_matrix(asked(spark, d), corpus(spark, d), _judgments(spark, d), None, ("bm25",), tuple(_CONDITIONS), suffix="ing", hits=100)
+    return _rounded(E.condition_summary(_rounded(rows), _METRICS), 5)
+
+
 @register()
 def matrix_summary(spark, d):
     rows = P.evaluate_matrix(asked(spark, d), corpus(spark, d), _judgments(spark, d), _roots(spark, d), suffix="ing", hits=100)
-    return E.condition_summary(rows, ["ndcg_1", "ndcg_10", "recall_10", "mrr_100", "recall_100"])
+    return E.condition_summary(rows, _METRICS)
 
 
 @register("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

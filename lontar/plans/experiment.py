@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lontar.errors import BadInput
 from lontar.functions import text as X
 from lontar.operators.evaluation import metrics
-from lontar.operators.retrieval import bm25, hashed_encoder, nearest
+from lontar.operators.retrieval import Analyzer, bm25, hashed_encoder, nearest
 from lontar.operators.statistics import tertile_cuts
+from lontar.session import shared_dir
 
 
 class Strategy(str, Enum):
@@ -38,8 +40,11 @@ def matrix(retrievers: tuple[str, ...] = ("bm25", "bge_m3")) -> list[Condition]:
     return [Condition(s, r) for r in retrievers for s in Strategy]
 
 
-def apply_strategy(df: DataFrame, strategy: str, roots: DataFrame | None = None, key: str = "id", column: str = "contents", suffix: str = "nya", normalise: bool = True) -> DataFrame:
-    """``df`` with ``column`` rewritten; strategies with a dictionary need ``roots`` (root) and a unique ``key``."""
+def apply_strategy(df: DataFrame, strategy: str, roots: DataFrame | None = None, key: str = "id", column: str = "contents", suffix: str = "nya", normalise: bool = True, remover: Callable[[Column], Column] | None = None, tagger: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``df`` with ``column`` rewritten; strategies with a dictionary need ``roots`` (root) and a unique ``key``.
+
+    ``remover`` takes a token's clitic away (default: ``suffix``); ``tagger`` gives the resolver a root's part of speech.
+    """
     try:
         kind = Strategy(strategy)
     except ValueError as e:
@@ -56,19 +61,19 @@ def apply_strategy(df: DataFrame, strategy: str, roots: DataFrame | None = None,
     if roots is None:
         raise BadInput(f"strategy {strategy} needs a root dictionary")
     if kind is Strategy.SASTRAWI_CLITIC:
-        remover = lambda t: X.suffix_remover(t, suffix)
+        remover = remover or (lambda t: X.suffix_remover(t, suffix))
         known = X.with_known(df, roots, X.clitic_candidates(c, remover), key, "_known")
         return known.withColumn(column, X.guarded_clitic(c, F.col("_known"), remover)).drop("_known")
     known = X.with_known(df, roots, X.host_candidates(c, suffix), key, "_known")
-    return known.withColumn(column, X.resolved(c, F.col("_known"), suffix)).drop("_known")
+    return known.withColumn(column, X.resolved(c, F.col("_known"), suffix, tagger=tagger)).drop("_known")
 
 
-def prepared(rows: DataFrame, roots: DataFrame, strategies: list[str] | None = None, suffix: str = "nya", limit: int | None = None) -> DataFrame:
+def prepared(rows: DataFrame, roots: DataFrame, strategies: list[str] | None = None, suffix: str = "nya", limit: int | None = None, remover: Callable[[Column], Column] | None = None) -> DataFrame:
     """strategy, id, contents of (id, contents) under each strategy; ``limit`` takes the first rows by id."""
     base = rows.orderBy("id").limit(limit) if limit is not None else rows
     out = None
     for name in strategies or [s.value for s in Strategy]:
-        one = apply_strategy(base, name, roots, suffix=suffix).select(F.lit(name).alias("strategy"), "id", "contents")
+        one = apply_strategy(base, name, roots, suffix=suffix, remover=remover).select(F.lit(name).alias("strategy"), "id", "contents")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -78,20 +83,54 @@ def write_prepared(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("strategy").parquet(path)
 
 
-def evaluate_matrix(queries: DataFrame, docs: DataFrame, judgments: DataFrame, roots: DataFrame, retrievers: tuple[str, ...] = ("bm25", "dense"), suffix: str = "nya", hits: int = 1000, cutoffs: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
-    """query_id, condition and metrics of each strategy x retriever; dense retrieval uses the hashed stand-in encoder."""
+#: From queries (query_id, text), documents (doc_id, text) and a number of hits to query_id, doc_id, score, rank.
+Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def retrievers(folder: str, encoder: Callable[[Column], Column] = hashed_encoder, analyzer: Analyzer | None = None) -> dict[str, Retriever]:
+    """bm25 with ``analyzer``, and dense with ``encoder``, whose vectors are written to ``folder`` before they are compared."""
+
+    def by_words(queries: DataFrame, docs: DataFrame, hits: int) -> DataFrame:
+        return bm25(queries, docs, hits, **({"analyzer": analyzer} if analyzer else {}))
+
+    def by_vectors(queries: DataFrame, docs: DataFrame, hits: int) -> DataFrame:
+        at = f"{folder}/vectors-{uuid.uuid4().hex}"
+        q, d = (_stored(rows.select(key, encoder(F.col("text")).alias("embedding")), f"{at}/{key}") for rows, key in ((queries, "query_id"), (docs, "doc_id")))
+        return nearest(q, d, hits)
+
+    return {"bm25": by_words, "dense": by_vectors}
+
+
+def prepared_pair(queries: DataFrame, docs: DataFrame, strategy: str, roots: DataFrame | None, folder: str, suffix: str = "nya") -> tuple[DataFrame, DataFrame]:
+    """``queries`` (query_id, text) and ``docs`` (doc_id, text) under a strategy, written to ``folder`` once."""
+    out = []
+    for rows, key in ((queries, "query_id"), (docs, "doc_id")):
+        made = apply_strategy(rows.select(F.col(key).alias("id"), F.col("text").alias("contents")), strategy, roots, suffix=suffix)
+        out.append(_stored(made.select(F.col("id").alias(key), F.col("contents").alias("text")), f"{folder}/{strategy}/{key}"))
+    return out[0], out[1]
+
+
+def evaluate_matrix(queries: DataFrame, docs: DataFrame, judgments: DataFrame, roots: DataFrame | None, names: tuple[str, ...] = ("bm25", "dense"), strategies: tuple[str, ...] | None = None, suffix: str = "nya", hits: int = 1000, cutoffs: tuple[int, ...] = (1, 10, 100), given: dict[str, Retriever] | None = None, folder: str | None = None) -> DataFrame:
+    """query_id, condition and metrics of each strategy x retriever.
+
+    Each strategy's corpus is written once and read by all retrievers; nothing is cached. ``given`` adds retrievers to
+    ``retrievers``' own or replaces them; the dense one's encoder is a stand-in otherwise.
+    """
+    folder = folder or f"{shared_dir(docs.sparkSession)}/lontar-matrix-{uuid.uuid4().hex}"
+    known = retrievers(folder) | (given or {})
+    if missing := set(names) - set(known):
+        raise BadInput(f"unknown retrievers {', '.join(sorted(missing))}")
     out = None
-    for c in matrix(retrievers):
-        d = apply_strategy(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("contents")), c.strategy.value, roots, suffix=suffix)
-        q = apply_strategy(queries.select(F.col("query_id").alias("id"), F.col("text").alias("contents")), c.strategy.value, roots, suffix=suffix)
-        q, d = q.select(F.col("id").alias("query_id"), F.col("contents").alias("text")), d.select(F.col("id").alias("doc_id"), F.col("contents").alias("text"))
-        d = d.persist(StorageLevel.MEMORY_AND_DISK)  # read for postings and again for the collection's numbers
-        if c.retriever == "bm25":
-            run = bm25(q, d, hits)
-        else:
-            run = nearest(q.select("query_id", hashed_encoder(F.col("text")).alias("embedding")), d.select("doc_id", hashed_encoder(F.col("text")).alias("embedding")), hits)
-        one = metrics(judgments, run, cutoffs, c.run_id)
-        out = one if out is None else out.unionByName(one)
+    for strategy in strategies or [s.value for s in Strategy]:
+        q, d = prepared_pair(queries, docs, strategy, roots, folder, suffix)
+        for name in names:
+            one = metrics(judgments, known[name](q, d, hits), cutoffs, f"{name}__{strategy}")
+            out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -133,12 +172,12 @@ def first_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where("left_contents <> right_contents").orderBy("id").limit(1)
 
 
-def report(spark: SparkSession, samples: list[tuple[str, str]], roots: DataFrame, suffix: str = "nya") -> DataFrame:
+def report(spark: SparkSession, samples: list[tuple[str, str]], roots: DataFrame, suffix: str = "nya", remover: Callable[[Column], Column] | None = None) -> DataFrame:
     """label, text and each strategy's result, a row for each sample."""
     base = spark.createDataFrame([(i, *s) for i, s in enumerate(samples)], "id int, label string, contents string")
     out = base.withColumnRenamed("contents", "text")
     for s in Strategy:
-        out = out.join(apply_strategy(base.select("id", "contents"), s.value, roots, suffix=suffix).withColumnRenamed("contents", s.value), "id")
+        out = out.join(apply_strategy(base.select("id", "contents"), s.value, roots, suffix=suffix, remover=remover).withColumnRenamed("contents", s.value), "id")
     return out.orderBy("id").drop("id")
 
 

@@ -1,7 +1,7 @@
 """Readers and writers of the toolkit's file formats, as DataFrames.
 
-Faulty lines fail the query with ``file:line: reason``. A line's number is its place in its file, which Spark's text
-reader doesn't give; it is found by ranking lines within a file, and only where a check asks for it.
+Faulty lines fail the query with the file's name, the reason and the line itself. A line's number is its place in its
+file, which a reader of splits can't know; ``located`` finds it, for faulty lines only, once a query has failed.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import json
 import os
 import tomllib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,26 +23,47 @@ DEFAULT_ROOTS = ["rumah", "buku", "pidato", "karya"]
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, line (from 1), value of each line that isn't blank, blank ones counted.
+    """file, line, value of each line that isn't blank.
 
-    ``path``: a file, a folder or a glob. Lines of a file are numbered in order of their block and place in it.
+    ``path``: a file, a folder or a glob. ``line`` is (block, row): it orders the lines of a file, and costs no shuffle.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_block_start").alias("_block"))
-    number = F.row_number().over(Window.partitionBy("file").orderBy("_block", "_at"))
-    return raw.select("file", number.alias("line"), "value").where(F.trim("value") != "")
+    raw = _raw(spark, path)
+    return raw.select("file", F.struct("block", "row").alias("line"), "value").where(F.trim("value") != "")
+
+
+def _raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def _checked(column: Column, valid: Column, why: str) -> Column:
-    place = F.concat_ws(":", F.col("file"), F.col("line").cast("string"))
-    return F.when(valid, column).otherwise(F.raise_error(F.concat(place, F.lit(f": {why}"))))
+    return F.when(valid, column).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(f": {why}: "), F.left("value", F.lit(80)))))
+
+
+def _object() -> Column:
+    return F.ltrim("value").startswith("{") & F.from_json("value", T.MapType(T.StringType(), T.StringType())).isNotNull()
+
+
+def located(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
+    """file, line (from 1, blank ones counted), reason of each faulty line of ``path``; kind: jsonl, qrels or run."""
+    parts = F.split(F.trim("value"), r"\s+")
+    if kind == "jsonl":
+        reason = F.when(~_object(), "JSONL row must be an object").when(F.try_parse_json("value").isNull(), "invalid JSON")
+    elif kind == "qrels":
+        reason = F.when(F.size(parts) != 4, "qrels row must have 4 columns").when(parts[3].try_cast("int").isNull(), "relevance must be an integer")
+    elif kind == "run":
+        reason = F.when(F.size(parts) != 6, "run row must have 6 columns").when(parts[3].try_cast("int").isNull(), "rank must be an integer").when(parts[4].try_cast("double").isNull(), "score must be a number")
+    else:
+        raise BadInput(f"unknown kind of file {kind!r}")
+    raw = _raw(spark, path)
+    faulty = raw.where((F.trim("value") != "") & reason.isNotNull()).select("file", F.col("block").alias("b"), F.col("row").alias("r"), reason.alias("reason"))
+    before = faulty.join(raw.select("file", "block", "row"), "file").where("block < b or block = b and row <= r")
+    return before.groupBy("file", "b", "r", "reason").agg(F.count("*").alias("line")).select("file", "line", "reason").orderBy("file", "line")
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Rows of JSON lines under ``schema``; anything but an object fails. Blank lines are skipped."""
     rows = lines(spark, path)
-    known = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-    is_object = F.ltrim("value").startswith("{") & known.isNotNull()
-    value = _checked(_checked(F.col("value"), is_object, "JSONL row must be an object"), F.try_parse_json("value").isNotNull(), "invalid JSON")
+    value = _checked(_checked(F.col("value"), _object(), "JSONL row must be an object"), F.try_parse_json("value").isNotNull(), "invalid JSON")
     fields = T.StructType.fromDDL(schema)
     return rows.select(F.from_json(value, fields).alias("row")).select("row.*")
 
@@ -54,7 +75,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def _split(rows: DataFrame, n: int, what: str) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
-    return rows.select("file", "line", _checked(parts, F.size(parts) == n, f"{what} row must have {n} columns").alias("c"))
+    return rows.select("file", "line", "value", _checked(parts, F.size(parts) == n, f"{what} row must have {n} columns").alias("c"))
 
 
 def _number(column: Column, kind: str, what: str) -> Column:
@@ -85,7 +106,7 @@ def parse_run(rows: DataFrame) -> DataFrame:
 
 def read_run(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A run, ordered by query and stored rank (not score), then by line."""
-    return parse_run(lines(spark, path)).orderBy("query_id", "rank", "line").drop("line")
+    return parse_run(lines(spark, path)).orderBy("query_id", "rank", "line").drop("line")  # as the file has them
 
 
 def run_lines(run: DataFrame) -> DataFrame:
@@ -146,19 +167,67 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, paths: list[str], metric: str) -> DataFrame:
-    """query_id, condition, value of all CSV files; each must have these columns. What isn't a number is null."""
+    """query_id, condition, value, place of all CSV files; each must have these columns. What isn't a number is null.
+
+    A metric may be written as ndcg_10 or as ndcg@10. ``place`` orders rows as the files have them, in order of ``paths``,
+    so that the first of repeated rows can be told.
+    """
     out = None
-    for path in paths:
+    for k, path in enumerate(paths):
         rows = spark.read.option("header", True).csv(path)
-        if missing := {"query_id", "condition", metric} - set(rows.columns):
+        name = next((m for m in (metric, metric_name(metric), column_name(metric)) if m in rows.columns), metric)
+        if missing := {"query_id", "condition", name} - set(rows.columns):
             raise BadInput(f"{path}: missing columns {', '.join(sorted(missing))}")
-        rows = rows.select("query_id", "condition", F.col(f"`{metric}`").try_cast("double").alias("value"))
+        place = F.struct(F.lit(k).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        rows = rows.select("query_id", "condition", F.col(f"`{name}`").try_cast("double").alias("value"), place.alias("place"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise BadInput("no metric file given")
     return out
 
 
+def metric_name(column: str) -> str:
+    """ndcg_10 as published tables write it: ndcg@10."""
+    head, _, k = column.rpartition("_")
+    return f"{head}@{k}" if head and k.isdigit() else column
+
+
+def column_name(metric: str) -> str:
+    return metric.replace("@", "_")
+
+
+def published(rows: DataFrame) -> DataFrame:
+    """Metric columns under their published names (ndcg@10; in summaries ndcg@10_mean)."""
+    def name(c: str) -> str:
+        for end in ("_mean", "_std", "_missing"):
+            if c.endswith(end):
+                return metric_name(c.removesuffix(end)) + end
+        return metric_name(c)
+
+    return rows.toDF(*[name(c) for c in rows.columns])
+
+
+def read_baseline(spark: SparkSession, path: str, metric: str) -> DataFrame:
+    """value of each row of a one-condition CSV that holds a number; blanks and text go. No such column is an error."""
+    rows = spark.read.option("header", True).csv(path)
+    name = next((m for m in (metric, metric_name(metric), column_name(metric)) if m in rows.columns), None)
+    if name is None:
+        raise BadInput(f"{path}: missing column {metric}")
+    return rows.select(F.col(f"`{name}`").try_cast("double").alias("value")).where("value is not null")
+
+
+def read_per_query(spark: SparkSession, path: str, metric: str) -> DataFrame:
+    """query_id, value of a CSV; a row without a number is left out and of repeated queries the last row counts. A file
+    without the columns has no rows."""
+    rows = spark.read.option("header", True).csv(path)
+    name = next((m for m in (metric, metric_name(metric), column_name(metric)) if m in rows.columns), None)
+    if name is None or "query_id" not in rows.columns:
+        return spark.createDataFrame([], "query_id string, value double")
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    known = rows.select("query_id", F.col(f"`{name}`").try_cast("double").alias("value"), at.alias("at")).where("value is not null and query_id is not null")
+    return known.groupBy("query_id").agg(F.max_by("value", "at").alias("value"))
+
+
 def read_sensitivity(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("header", True).csv(path)
     if missing := {"query_id", "tertile"} - set(rows.columns):

@@ -45,3 +45,27 @@ def test_commands_end_to_end(spark, tmp_path):
     assert main(["gate", "--csv", p("m_bm25"), "--reference", "0.2"]) == 1
     assert main(["sensitivity", "--output", p("sens"), "--queries-jsonl", p("q.jsonl")]) == 0
     assert main(["verify"]) == 0
+
+
+def test_sweep_and_subset(spark, tmp_path, capsys):
+    def p(name):
+        return str(tmp_path / name)
+
+    docs = [{"docid": f"d{i}", "text": f"rumahnya kata{i} kota{i % 3}"} for i in range(12)]
+    asked = [{"query_id": f"q{i}", "query": f"kata{i}", "positive_passages": [{"docid": f"d{i}"}, {"title": "no id"}]} for i in range(4)]
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, docs)))
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, asked)))
+    both = ["keep", "naive_strip"]
+    assert main(["prepare", "--strategy", *both, "--output-dir", p("out"), "--queries-jsonl", p("q.jsonl"), "--corpus-jsonl", p("c.jsonl")]) == 0
+    assert main(["qrels", "--output", p("qrels"), "--queries-jsonl", p("q.jsonl")]) == 0
+    assert "judgments: 4" in capsys.readouterr().out
+    sweep = ["sweep", "--processed-dir", p("out"), "--qrels", p("qrels"), "--output-dir", p("done"), "--strategies", *both, "--retrievers", "bm25", "dense"]
+    assert main([*sweep, "--reference", "1.0"]) == 0
+    assert capsys.readouterr().out.count("__") == 4
+    assert main(sweep) == 0 and "__" not in capsys.readouterr().out
+    rows = spark.read.option("header", True).csv(p("done/summary")).collect()
+    assert {r.condition: float(r["ndcg@10_mean"]) for r in rows if r.condition.startswith("bm25")} == {"bm25__keep": 1.0, "bm25__naive_strip": 1.0} and len(rows) == 4
+    assert main([*sweep, "--force", "--reference", "0.2"]) == 1
+    assert main(["subset", "--processed-dir", p("out"), "--qrels", p("qrels"), "--output-dir", p("small"), "--strategies", *both, "--queries", "2", "--extra-docs", "3"]) == 0
+    assert [spark.read.json(p(f"small/{s}/{n}")).count() for s in both for n in ("queries", "corpus")] == [2, 5, 2, 5]
+    assert main(["index", "--retriever", "bm25", "--collection-dir", p("out/keep/corpus"), "--index-dir", p("i"), "--dry-run"]) == 0

@@ -103,3 +103,25 @@ def test_resolver_against_second_version(spark):
     df = spark.createDataFrame(rows, "id int, t string").withColumn("known", F.array(*map(F.lit, known)))
     got = {r.id: r.out for r in df.select("id", X.resolved(F.col("t"), F.col("known")).alias("out")).collect()}
     assert all(got[i] == reference_resolved(t, known) for i, t in rows)
+
+
+def test_nominaliser(spark):
+    """A root that the tagger calls a verb is left alone."""
+    text = "Sukarno datang. Pidatonya terkenal. Bukunya laris."
+    rows = spark.createDataFrame([(1, text)], "id int, contents string")
+    roots = spark.createDataFrame([(r,) for r in ROOTS], "root string")
+    tagger = lambda root: F.when(F.lower(root) == "pidato", "VERB").otherwise("NOUN")
+    out = P.apply_strategy(rows, "rule_resolved", roots, tagger=tagger).first().contents
+    assert out == "Sukarno datang. Pidatonya terkenal. Buku Sukarno laris."
+
+
+def test_repeated_and_stemmed_query_terms(spark):
+    from lontar.operators.retrieval import bm25, stemming_analyzer
+
+    docs = spark.createDataFrame([(1, "satu dua"), (2, "satu tiga"), (3, "rumahnya besar")], "doc_id long, text string")
+    one, two = (spark.createDataFrame([(1, t)], "query_id long, text string") for t in ("satu dua", "satu dua dua dua"))
+    a, b = ({r.doc_id: r.score for r in bm25(q, docs).collect()} for q in (one, two))
+    assert b[1] - b[2] == pytest.approx(3 * (a[1] - a[2]), abs=1e-5)
+    asked = spark.createDataFrame([(1, "Di rumahkah")], "query_id long, text string")
+    assert bm25(asked, docs).count() == 0
+    assert [r.doc_id for r in bm25(asked, docs, analyzer=stemming_analyzer()).collect()] == [3]
