@@ -131,6 +131,72 @@ def test_all_pairs_of_passages(spark, monkeypatch):
     assert [tuple(p) for p in found[4].passages] == [(1, 61)] and [tuple(p) for p in found[9].passages] == [(0, 61)] and [tuple(p) for p in found[10].passages] == [(1, 61)]
 
 
+def _passages(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    return {r.doc_id: r for r in chaining.repeated_passages(rows).collect()}
+
+
+def test_shared_runs_whose_seeds_are_all_common(spark):
+    """Two documents share 80 and 400 words, of which many before and behind hold bits of 20 words."""
+    for length in (80, 400):
+        words = [f"m{i}" for i in range(length)]
+        bits = [f"b{i} " + " ".join(words[i : i + 20]) + f" e{i}" for i in range(0, length - 19, 5)]
+        few, many = bits * 1, [f"{t} x{k}" for k in range(4) for t in bits]
+        for around in (few, many):
+            out = _passages(spark, [*around, "begin " + " ".join(words) + " end", *around[::-1], "other " + " ".join(words), "nothing of the kind"])
+            a, b = len(around), 2 * len(around) + 1
+            assert out[a].component_id == out[b].component_id == a and out[a].n_links >= 1 and out[b].n_links >= 1
+            assert (out[a].n_repeated, out[b].n_repeated) == (length, length)
+            assert out[b + 1].n_links == 0
+
+
+def test_popular_pieces_of_a_rare_run(spark):
+    """45 words that very many have, twice over, make up 60 words that only two have."""
+    words = [f"m{i}" for i in range(60)]
+    cut = [f"l{k} " + " ".join(words[:45]) + f" r{k}" for k in range(20)] + [f"l{k} " + " ".join(words[15:]) + f" r{k}" for k in range(20)]
+    out = _passages(spark, [*cut, "p " + " ".join(words) + " q", "s " + " ".join(words) + " t"])
+    assert out[40].component_id == out[41].component_id == 40 and out[41].n_repeated == 60
+    assert all(out[k].n_links == 0 for k in range(40))
+
+
+def test_one_word_over_and_over(spark):
+    texts = [f"a{k} " + "word " * 9000 + f"z{k}" for k in range(3)] + [f"b{k} " + "line of it " * 60 + f"y{k}" for k in range(15)]
+    out = _passages(spark, texts)
+    assert [out[k].n_repeated for k in range(3)] == [9000] * 3 and out[2].component_id == 0
+    assert all(out[k].component_id == 3 and out[k].n_repeated == 180 and out[k].n_links >= 1 for k in range(3, 18))
+
+
+def test_changed_passages_against_all_seeds(spark):
+    """Pairs of passages with one word in ten changed, and one passage that forty documents have so: recall against a
+    plain search through all K-mers of all pairs."""
+    import random
+
+    import numpy as np
+
+    random.seed(8)
+    changed = lambda words, tag: " ".join(f"{tag}c{i}" if random.random() < 0.1 else w for i, w in enumerate(words))
+    around = lambda tag, n: " ".join(f"{tag}w{i}" for i in range(n))
+    texts = []
+    for p in range(60):
+        words = [f"p{p}x{i}" for i in range(70)]
+        texts += [f"{around(f'u{p}', 30)} {changed(words, f'a{p}')} {around(f'v{p}', 20)}", f"{around(f's{p}', 45)} {changed(words, f'b{p}')} {around(f't{p}', 10)}"]
+    common = [f"q{i}" for i in range(90)]
+    texts += [f"{around(f'k{k}', 25)} {changed(common, f'd{k}')} {around(f'l{k}', 25)}" for k in range(40)]
+    out = _passages(spark, texts)
+    hashes = chaining._Hashes()
+    words = [chaining._words(t.encode(), hashes) for t in texts]
+
+    def linked(a, b):
+        x, y = np.nonzero(chaining._kmers(a)[:, None] == chaining._kmers(b)[None, :])
+        return len(x) > 0 and any(chaining.passages(c, a, b)[0] for c in chaining.chains(x, y))
+
+    pairs = [(2 * p, 2 * p + 1) for p in range(60) if linked(words[2 * p], words[2 * p + 1])]
+    assert len(pairs) > 40 and sum(out[a].component_id == out[b].component_id for a, b in pairs) >= 0.97 * len(pairs)
+    close = [(a, b) for a in range(120, 160) for b in range(120, a) if linked(words[a], words[b])]
+    assert len(close) > 100 and sum(out[a].component_id == out[b].component_id for a, b in close) >= 0.97 * len(close)
+    assert all(out[k].component_id in (k, k - k % 2) for k in range(120))
+
+
 def test_bridge_in_the_middle(spark):
     """Documents 2 and 3 share a passage whose seeds 1 and 4 hold in pieces too short for passages of their own."""
     words = [f"m{i}" for i in range(60)]
