@@ -4,13 +4,17 @@ Vectors are brought to unit length and cut in halves; each half has its own code
 and a vector lies in the cell (nearest code of the first half, nearest code of the second). A query visits cells in
 ascending sum of its two squared distances, the multi-sequence order, until ``target`` of near pairs would be met;
 how many cells that takes is measured, by turning sample vectors by exactly the threshold angle in random directions,
-the hardest pairs that may link. Every distinct vector is indexed and every one is a query; what meets in a cell is
-verified by its cosine in double precision.
+the hardest pairs that may link. Codes grow with the rows of the largest label, and where no bounded number of cells would
+do, codebooks are halved until one does; with one code each, the search is exact. Every distinct vector is indexed and
+every one is a query; what meets in a cell is verified by its cosine in double precision.
 
 A pair counts if either side visits the other's cell. Each side then counts the link once: the visitor where it
 visits, the visited only if it doesn't visit the visitor's cell itself. So counts are symmetric and no pair leaves
 its task; links are reduced to spanning edges there. Equal vectors are one entry with a multiplicity, and a cell of
 many vectors is dealt to several tasks by chunks of its entries and of its visitors.
+
+Codebooks are for the number of dimensions that most vectors have. Vectors of another number share one cell for each
+label and number, so they are compared exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 from lontar.llm.shared import Scratch, connected_components, spanning
 
 #: Rows that the codebooks are fitted on at most, and codes of a codebook at most.
-SAMPLE = 8192
-CODES = 256
+SAMPLE = 16_384
+CODES = 1024
+#: Rows of the largest label for each cell, and cells that a query visits at most before smaller codebooks are tried.
+FULL, VISITS = 64, 256
 #: Entries, and visitors, of a cell that one task compares at once.
 MOST = 2048
 _BLOCK = 512
@@ -69,36 +75,28 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def fitted(x: np.ndarray, vectors: int, threshold: float, target: float) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """Codebooks from sample rows ``x`` of unit length, and the number of cells to visit for ``target``."""
+    """Codebooks from sample rows ``x`` of unit length for labels of up to ``vectors`` rows, and the number of cells to
+    visit for ``target``."""
     half = x.shape[1] // 2
-    k = int(min(CODES, max(4, np.sqrt(vectors) / 4), max(1, len(x) // 16)))
-    books = (kmeans(x[:, :half], k), kmeans(x[:, half:], k, seed=8))
     rng = np.random.default_rng(9)
     turn = rng.standard_normal(x.shape)
     turn -= (turn * x).sum(1, keepdims=True) * x
     turn /= np.maximum(np.sqrt((turn**2).sum(1, keepdims=True)), 1e-12)
     near = threshold * x + np.sqrt(1 - threshold**2) * turn
-    most = min(k * k, 256)
-    a, b = visits(x, books, most), visits(near, books, most)
-
-    def rank(order: np.ndarray, own: np.ndarray) -> np.ndarray:
-        hit = order == own[:, None]
-        return np.where(hit.any(1), hit.argmax(1), most)
-
-    need = np.minimum(rank(a, b[:, 0]), rank(b, a[:, 0]))
-    return books, int(min(most, np.quantile(need, target) + 1))
+    k = int(max(1, min(CODES, np.sqrt(vectors / FULL), len(x) // 16)))
+    while True:
+        books = (kmeans(x[:, :half], k), kmeans(x[:, half:], k, seed=8))
+        most = min(len(books[0]) * len(books[1]), VISITS)
+        a, b = visits(x, books, most), visits(near, books, most)
 
+        def rank(order: np.ndarray, own: np.ndarray, most: int = most) -> np.ndarray:
+            hit = order == own[:, None]
+            return np.where(hit.any(1), hit.argmax(1), most)
 
-def _padded(column: pa.ListArray, dim: int) -> np.ndarray:
-    """Rows of a list column as doubles, cut or filled with zeros to ``dim``; only the index looks at these."""
-    sizes = np.diff(column.offsets.to_numpy())
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if (sizes == dim).all():
-        return values.reshape(-1, dim)
-    out = np.zeros((len(column), dim))
-    for k, row in enumerate(np.split(values, np.cumsum(sizes)[:-1])):
-        out[k, : min(dim, len(row))] = row[:dim]
-    return out
+        need = np.quantile(np.minimum(rank(a, b[:, 0]), rank(b, a[:, 0])), target) if len(x) else 0
+        if need < most or k == 1:
+            return books, int(min(most, need + 1))
+        k //= 2
 
 
 def _visit(books: tuple[np.ndarray, np.ndarray], cells: int, dim: int):
@@ -106,10 +104,16 @@ def _visit(books: tuple[np.ndarray, np.ndarray], cells: int, dim: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _padded(batch.column("vector"), dim)
-            x[~x.any(axis=1), 0] = 1.0  # all zero once cut to dim
-            order = visits(unit(x), books, cells).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
+            column = batch.column(batch.schema.get_field_index("vector"))
+            sizes = np.diff(column.offsets.to_numpy())
+            plain = sizes == dim
+            counts = np.where(plain, cells, 1)
+            out = np.full(counts.sum(), -1, np.int32)  # the cell of vectors of other sizes
+            if plain.any():
+                x = column.filter(pa.array(plain)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                x = unit(np.pad(x, ((0, 0), (0, dim % 2))))
+                out[np.repeat(plain, counts)] = visits(x, books, cells).astype(np.int32).ravel()
+            flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(out))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=[*batch.schema.names, "visits"])
 
     return run
@@ -189,27 +193,26 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, target: float = 0.995
     n_links 0, its own component. Vectors of different lengths never link. A null id links with nothing either and
     has a null component. Rows that repeat an id and its vector count as copies of one another. Other columns are ignored.
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(rows.sparkSession)
+    kind = "array<float>" if dict(rows.dtypes)[vector_col] == "array<float>" else "array<double>"
     v = F.col("vector")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
-    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
+    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.col(label_col).cast("string").alias("label"))
     base = base.withColumn("sound", sound)
-    distinct = base.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    distinct = scratch.write(distinct)
-    n = distinct.count()
-    dims = distinct.agg(F.max(F.size("vector"))).first()[0] or 2
-    dim = int(dims) + int(dims) % 2
-    sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toPandas()["vector"]
-    if n:
-        x = np.zeros((len(sample), dim))
-        for k, row in enumerate(sample):
-            x[k, : len(row)] = row
-        books, cells = fitted(unit(x), n, threshold, target)
-    else:
-        books, cells = (np.zeros((1, dim // 2)),) * 2, 1
-    fields = "space long, rep long, copies long, vector array<double>"
+    # Equal vectors are told by 128 bits, so that vectors themselves move once.
+    same = ["label", "h1", "h2"]
+    good = base.where("sound").select("vec_id", "label", F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"), "vector")
+    distinct = scratch.write(good.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
+    sized = distinct.groupBy("label", F.size("vector").alias("size")).agg(F.count("*").alias("n"))
+    common = sized.groupBy("size").agg(F.sum("n").alias("n"), F.max("n").alias("largest")).orderBy(F.desc("n"), "size").first()
+    dim, largest = (common["size"], common["largest"]) if common else (2, 0)
+    half = dim + dim % 2
+    sample = distinct.where(F.size("vector") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
+    x = sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = np.pad(x, ((0, 0), (0, dim % 2)))
+    books, cells = fitted(unit(x), largest, threshold, target) if len(x) else ((np.zeros((1, half // 2)),) * 2, 1)
+    fields = f"space long, rep long, copies long, vector {kind}"
     spaced = distinct.select(F.xxhash64("label", F.size("vector")).alias("space"), "rep", "copies", "vector")
     placed = scratch.write(spaced.mapInArrow(_visit(books, cells, dim), f"{fields}, visits array<int>"))
     entries = placed.select("space", F.col("visits")[0].alias("cell"), F.lit(0).alias("role"), "rep", "copies", F.col("visits")[0].alias("own"), "vector", "visits")
@@ -229,8 +232,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, target: float = 0.995
     degree = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
     classes = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     reps = distinct.join(degree, distinct.rep == degree.id, "left").join(classes, F.col("rep") == F.col("node"), "left")
-    reps = reps.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class"))
+    reps = reps.select(*same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class"))
     reps = scratch.write(reps)
-    good = base.where("sound").join(reps, ["label", "vector"]).select("vec_id", "n_links", F.col("class").alias("component_id"))
+    linked = good.drop("vector").join(reps, same).select("vec_id", "n_links", F.col("class").alias("component_id"))
     rest = base.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return linked.unionByName(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

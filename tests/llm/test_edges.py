@@ -99,6 +99,36 @@ def test_split_hot(spark):
     assert max(map(len, meet.values())) < 40
 
 
+def test_one_very_long_vector(spark):
+    """Vectors of an unusual size are compared exactly, and don't widen the others."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    long = rng.standard_normal(200_000)
+    rows = [(i, rng.standard_normal(7).tolist(), "x") for i in range(300)] + [(300 + k, (long + 0.01 * k * rng.standard_normal(len(long))).tolist(), "x") for k in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").select(*[F.col(c) for c in ("vec_id", "embedding")], F.col("label"), F.lit(1).alias("h1"), F.lit(1).alias("copies"), F.lit(1).alias("vector"))
+    out = {r.vec_id: r for r in multi_index.near_vectors(df).collect()}
+    x = np.array([r[1] for r in rows[:300]])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    near = x @ x.T >= 0.93
+    assert [out[i].n_links for i in range(300)] == (near.sum(1) - 1).tolist() and [out[i].component_id for i in (300, 301, 302)] == [300] * 3
+
+
+def test_recall_of_the_index(spark):
+    """Near pairs among vectors without any clusters, the hardest to index, under many codes."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 16))
+    turn = rng.standard_normal((3000, 16))
+    x[3000:] = x[:3000] + 0.35 * turn * np.sqrt((x[:3000] ** 2).sum(1) / (turn**2).sum(1))[:, None]
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = sum(r.n_links for r in multi_index.near_vectors(df).collect())
+    truth = int((x @ x.T >= 0.93).sum()) - len(x)
+    assert 0.97 * truth <= got <= truth
+
+
 def test_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.0], 1), (4, None, 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [1.0, 0.0], None), (8, [1.0, 0.0, 0.0], 0), (None, [1.0, 0.0], 0), (9, [], 0), (10, [None, 1.0], 0), (11, [1.0, 0.0], 0)]
