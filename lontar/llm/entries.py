@@ -65,7 +65,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lontar.llm.transport import read_back, store
 
-    return read_back(store(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("points")
+    return read_back(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Mixing to target weights with soft membership, in DataFrame and SQL functions only.
 
 A labelled table gives some documents a domain. A Bernoulli naive Bayes classifier over their most telling terms turns
-every document into domain posteriors p, rounded to 1/``STEPS`` and kept summing to one. Document rates r in [0, most]
+every document into domain posteriors p, rounded to 1/``STEPS`` and kept summing to one; as all roundings go down but the
+likeliest domain's, totals shift to large domains by less than 1/STEPS for each other one. Document rates r in [0, most]
 are fitted by projected gradient descent on the least squares sum_k (S_k - T_k)^2 / N_k, where S_k = sum_d r_d n_d p_dk
 are the expected token totals of the domains, T_k their targets and N_k what they are at rate 1. Under token weights
 the gradient of a document is sum_k p_dk (S_k - T_k) / N_k and has Lipschitz constant 1, so a step of 1 descends.
@@ -11,6 +12,7 @@ there are few whatever the number of documents, computed by Spark; the driver se
 
 from __future__ import annotations
 
+import warnings
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +26,12 @@ TERMS = 96
 #: A domain's terms are this much likelier in its documents than in others, and stand in this share of them.
 LIFT, SPREAD = 8.0, 0.02
 #: Posteriors are multiples of 1/STEPS.
-STEPS = 64
-ROUNDS = 60
+STEPS = 256
+#: Rounds at most, share of the total by which targets may be missed, and by which totals may still move at the end.
+ROUNDS = 300
 TOLERANCE = 1e-5
+#: Rounds after which rates are written, so that what is computed in a round doesn't grow.
+WRITTEN = 25
 
 
 def _words(text: Column) -> Column:
@@ -107,25 +112,28 @@ def posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]], list[
     return rows.select("doc_id", "n_tokens", F.transform("p", lambda x, i: (x + F.when(i == first, rest).otherwise(0.0)) / STEPS).alias("p"))
 
 
-def _rate(history: list[list[float]], most: float) -> Column:
-    """The rate of posterior ``p`` after steps along ``history``, each a scaled residual by domain."""
+def _stepped(rate: Column, history: list[list[float]], most: float) -> Column:
+    """``rate`` of posterior ``p`` after steps along ``history``, each a scaled residual by domain."""
     if not history:
-        return F.lit(1.0)
+        return rate
     steps = F.array(*[_doubles(h) for h in history])
     inner = lambda h: F.aggregate(F.zip_with("p", h, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), F.least(F.lit(most), r - inner(h))))
+    return F.aggregate(steps, rate, lambda r, h: F.greatest(F.lit(0.0), F.least(F.lit(most), r - inner(h))))
 
 
-def fit_rates(cells: DataFrame, weights: list[float], total: float | None = None, most: float = 4.0) -> list[list[float]]:
-    """The steps of projected gradient descent over ``cells`` (p, n_tokens); see ``_rate``.
+def fit_rates(cells: DataFrame, weights: list[float], scratch: Scratch, total: float | None = None, most: float = 4.0) -> DataFrame:
+    """``cells`` (p, n_tokens) with their ``rate`` after projected gradient descent.
 
-    Targets are ``total`` times ``weights``; by default the total at which the largest domain keeps its tokens.
+    Targets are ``total`` times ``weights``; by default the total at which the largest domain keeps its tokens. Descent
+    ends when targets are met or totals no longer move, as where ``most`` keeps them out of reach; a warning tells if
+    neither came about within ``ROUNDS``.
     """
     k = len(weights)
+    rated = scratch.write(cells.select("p", "n_tokens", F.lit(1.0).alias("rate")))
 
     def sums(history: list[list[float]]) -> list[float]:
-        rated = cells.select("p", "n_tokens", _rate(history, most).alias("r"))
-        row = rated.agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
+        now = rated.select("p", "n_tokens", _stepped(F.col("rate"), history, most).alias("r"))
+        row = now.agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
         return [x or 0.0 for x in row]
 
     mass = sums([])
@@ -133,12 +141,22 @@ def fit_rates(cells: DataFrame, weights: list[float], total: float | None = None
     total = total if total is not None else mass[top] / (weights[top] or 1.0)
     target = [w * total for w in weights]
     history: list[list[float]] = []
-    for _ in range(ROUNDS):
+    before = None
+    for step in range(ROUNDS + 1):
         now = sums(history)
-        if max((abs(s - t) for s, t, m in zip(now, target, mass, strict=True) if m > 0), default=0.0) <= TOLERANCE * total:
+        missed = max((abs(s - t) for s, t, m in zip(now, target, mass, strict=True) if m > 0), default=0.0)
+        moved = max((abs(s - t) for s, t in zip(now, before, strict=True)), default=0.0) if before else missed
+        if missed <= TOLERANCE * total or moved <= 0.01 * TOLERANCE * total:
             break
+        if step == ROUNDS:
+            warnings.warn(f"rates still move after {ROUNDS} rounds: the largest residual is {missed:.0f} tokens", stacklevel=2)
+            break
+        before = now
         history.append([(s - t) / m if m > 0 else 0.0 for s, t, m in zip(now, target, mass, strict=True)])
-    return history
+        if len(history) == WRITTEN:
+            rated = scratch.write(rated.select("p", "n_tokens", _stepped(F.col("rate"), history, most).alias("rate")))
+            history = []
+    return scratch.write(rated.select("p", "n_tokens", _stepped(F.col("rate"), history, most).alias("rate")))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, most: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +164,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
 
     copies (long) is the rate rounded up or down by a hash of the id, so that its mean is the rate. A null or empty
     text has no tokens and the posterior of a text without a telling term; null and repeated ids pass through, a row each. A
-    domain without a labelled document or without tokens is no target. Other columns are ignored.
+    domain without a labelled document or without tokens is no target. Of equally likely domains the first by name is
+    the likeliest. An empty table gives an empty one. Other columns are ignored.
     """
     domains = sorted(weights)
     share = sum(weights.values())
@@ -154,10 +173,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     model = fit_domains(docs, labelled, domains, id_col, text_col)
     rows = scratch.write(posteriors(docs, model, id_col, text_col))
     cells = scratch.write(rows.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")))
-    history = fit_rates(cells, [weights[d] / share for d in domains], total, most)
-    rates = cells.select("p", _rate(history, most).alias("rate"))
+    rates = fit_rates(cells, [weights[d] / share for d in domains], scratch, total, most).select("p", "rate")
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rated = rows.join(F.broadcast(rates), "p")  # a row for each distinct posterior, C(STEPS + domains - 1, domains - 1) at most
+    rated = rows.join(rates, "p")  # a table, so Spark broadcasts it if it is small; else a popular posterior is split
     return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", F.floor(F.col("rate") + dealt).cast("long").alias("copies"))
 
 

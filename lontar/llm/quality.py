@@ -123,14 +123,15 @@ def held_out(column: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, rank: int = RANK, k: int = NEIGHBOURS) -> Model:
-    """Fit on at most ``sample`` labelled rows that aren't held out, those first by a hash of their id.
+    """Fit on at most ``sample`` labelled rows that aren't held out, those first by a hash of their id and text.
 
     Null ids and null labels are left out; of an id with several labels the largest counts; of an id with several
-    texts each is a row.
+    texts each is a row, within the limit.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).join(chosen, "_id").select("label", "_text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).join(chosen, "_id")
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"), "_text").limit(sample).select("label", "_text")
     found = rows.mapInArrow(_terms, "label int, term array<int>, value array<float>").toArrow()
     terms = np.zeros((found.num_rows, TERMS), np.float32)
     for i, (t, v) in enumerate(zip(found["term"], found["value"], strict=True)):
@@ -141,7 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a double column ``name`` (0 to 1, higher: label 1 likelier), all else as it was.
 
-    A null text counts as empty; an empty one gets the mean label of the sample. Nothing but the text is looked at.
+    A null text counts as empty; an empty one gets the mean label of the sample. Nothing but the text is looked at, so
+    null, repeated and tied ids are rows like any other, equal texts get equal scores, and an empty table gives an empty
+    one. Neighbours at equal similarity beyond the ``k``-th are left out as they come.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -155,6 +158,6 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``threshold``, columns as they were."""
+    """The rows of ``docs`` with a score of at least ``threshold``, columns as they were; see ``with_score``."""
     name = free_name(docs, "_score")
     return with_score(docs, fit(docs, labels), text_col, name).where(F.col(name) >= threshold).drop(name)

@@ -7,9 +7,10 @@ The index. The 64 bits are cut into ``distance + j`` segments. Codes that link a
 the top nodes are the masked patterns of every choice of j segments: a node's codes share that pattern (an
 accumulated difference of zero) and each linked pair meets under at least one top node, which is a group of a
 shuffle. j grows with the number of distinct fingerprints, so that a node holds about as many codes at every size.
-Under a top node, codes are sorted by Gray rank, runs of ``LEAF`` neighbours form nodes that keep the bits on which
-all their codes agree, and a whole run is pruned if the differences on bits that both sides share already exceed the
-distance; what is left is compared code by code. A top node of over ``MOST`` codes is dealt to several tasks by
+Under a top node, codes are sorted by Gray rank. ``FAN`` neighbours form a node that keeps the bits on which all its
+codes agree, ``FAN`` such nodes the next one, and so on. Pairs of nodes are followed from the top; differences on bits on
+which both sides agree are accumulated from level to level, and a pair is pruned with all below it as soon as they
+exceed the distance. A top node of over ``MOST`` codes is dealt to several tasks by
 pairs of its chunks. Links are reduced to spanning edges where they are found; exact copies never get there, since
 the index holds distinct fingerprints only.
 
@@ -17,7 +18,7 @@ Near copies (``keep_one``). Documents whose sets of word 5-shingles have a Jacca
 fingerprint bits at most, which is more than choices of whole segments can index. So a wider fingerprint is taken, of
 ``WIDE`` x 64 bits over these sets, the top nodes are the patterns under random masks of as many bits as the corpus's
 size asks for, and there are as many masks as ``RECALL`` of pairs at that similarity need. Under a top node differences
-are accumulated word by word, and runs are pruned as above. Pairs at ``APART`` or fewer bits link.
+are accumulated and nodes pruned as above. Pairs at ``APART`` or fewer bits link.
 """
 
 from __future__ import annotations
@@ -34,8 +35,12 @@ from pyspark.sql import functions as F
 from lontar.llm.shared import Scratch, connected_components, free_name, spanning, split_hot
 
 SEED = 42
-LEAF = 32
+#: Neighbours in Gray order that a node of the index holds, and pairs of nodes that are followed at once.
+FAN = 8
+_PAIRS = 1 << 14
 MOST = 2048
+#: Groups of up to this many codes are compared at once, without a tree.
+SMALL = 16
 #: Codes that a top node should hold on average at most.
 NODE = 1024
 _BLOCK = 1 << 16
@@ -103,26 +108,52 @@ def top_masks(distance: int, j: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, j)]
 
 
+def tree(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels of nodes over ``codes`` (n x words), from the codes up: (bits, mask of the bits on which all codes below a
+    node agree). A node holds ``FAN`` neighbours of the level below."""
+    levels = [(codes, np.full_like(codes, ~np.uint64(0)))]
+    while len(levels[-1][0]) > FAN:
+        bits, agree = levels[-1]
+        starts = np.arange(0, len(bits), FAN)
+        ones = np.bitwise_and.reduceat(bits & agree, starts)
+        none = np.bitwise_and.reduceat(~bits & agree, starts)
+        levels.append((ones, ones | none))
+    return levels
+
+
 def linked_pairs(codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions in ``codes`` (uint64, in Gray order) at ``distance`` or fewer bits, each at least once."""
-    n = len(codes)
-    starts = np.arange(0, n, LEAF)
-    ones = np.bitwise_and.reduceat(codes, starts)
-    agree = ones | ~np.bitwise_or.reduceat(codes, starts)  # bits on which a run's codes agree; there its pattern is `ones`
-    lengths = np.diff(np.append(starts, n))
-    for k, start in enumerate(starts):
-        apart = np.bitwise_count((ones[k:] ^ ones[k]) & agree[k:] & agree[k])
-        near = np.flatnonzero(apart <= distance) + k
-        if len(near) == n // LEAF + (n % LEAF > 0) - k:
-            others = np.arange(start, n)
-        else:
-            others = np.concatenate([np.arange(starts[m], starts[m] + lengths[m]) for m in near])
-        own = codes[start : start + lengths[k]]
-        a, b = np.nonzero(np.bitwise_count(own[:, None] ^ codes[others][None, :]) <= distance)
-        a, b = a + start, others[b]
-        keep = a < b
-        if keep.any():
-            yield a[keep], b[keep]
+    """Pairs a < b of positions in ``codes`` (uint64, in Gray order; or n x words) at ``distance`` or fewer bits, each once.
+
+    Pairs of nodes are followed from the top. A pair's differences are those found above plus those on bits on which
+    both nodes have come to agree; a pair leaves with all below it as soon as they exceed ``distance``.
+    """
+    codes = codes.reshape(len(codes), -1)
+    levels = tree(codes)
+    top = len(levels) - 1
+    i, j = np.triu_indices(len(levels[top][0]))
+    waiting = [(top, i, j, np.zeros(len(i), np.int64), np.zeros((len(i), codes.shape[1]), np.uint64))]
+    while waiting:
+        level, i, j, apart, known = waiting.pop()
+        if len(i) > _PAIRS:
+            waiting.append((level, i[_PAIRS:], j[_PAIRS:], apart[_PAIRS:], known[_PAIRS:]))
+            i, j, apart, known = i[:_PAIRS], j[:_PAIRS], apart[:_PAIRS], known[:_PAIRS]
+        bits, agree = levels[level]
+        both = agree[i] & agree[j]
+        apart = apart + np.bitwise_count((bits[i] ^ bits[j]) & both & ~known).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(apart <= distance)
+        i, j, apart, known = i[near], j[near], apart[near], both[near]
+        if not len(i):
+            continue
+        if not level:
+            apart = i < j
+            yield i[apart], j[apart]
+            continue
+        step = np.arange(FAN)
+        a = np.broadcast_to((i[:, None] * FAN + step)[:, :, None], (len(i), FAN, FAN))
+        b = np.broadcast_to((j[:, None] * FAN + step)[:, None, :], (len(i), FAN, FAN))
+        inside = (a < len(levels[level - 1][0])) & (b < len(levels[level - 1][0])) & (a <= b)
+        parent = np.nonzero(inside)[0]
+        waiting.append((level - 1, a[inside], b[inside], apart[parent], known[parent]))
 
 
 def _links(distance: int):
@@ -247,35 +278,6 @@ def random_masks(rows: int) -> list[list[int]]:
     return out
 
 
-def wide_pairs(codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of ``codes`` (n x WIDE, uint64, in Gray order of the first word) at ``distance`` or fewer bits.
-
-    Differences of two runs on bits that both share are accumulated word by word; a pair of runs leaves as soon as they
-    exceed ``distance``, and so does a pair of codes.
-    """
-    n = len(codes)
-    starts = np.arange(0, n, LEAF)
-    ones = np.bitwise_and.reduceat(codes, starts)
-    agree = ones | ~np.bitwise_or.reduceat(codes, starts)
-    for k, start in enumerate(starts):
-        near, apart = np.arange(k, len(starts)), 0
-        for w in range(codes.shape[1]):
-            apart = apart + np.bitwise_count((ones[near, w] ^ ones[k, w]) & agree[near, w] & agree[k, w]).astype(np.int64)
-            near, apart = near[apart <= distance], apart[apart <= distance]
-        others = (starts[near][:, None] + np.arange(LEAF)).ravel()
-        others = others[others < n]
-        own = np.arange(start, min(start + LEAF, n))
-        a, b = np.repeat(own, len(others)), np.tile(others, len(own))
-        a, b = a[a < b], b[a < b]
-        apart = np.zeros(len(a), np.int64)
-        for w in range(codes.shape[1]):
-            apart += np.bitwise_count(codes[a, w] ^ codes[b, w])
-            keep = apart <= distance
-            a, b, apart = a[keep], b[keep], apart[keep]
-        if len(a):
-            yield a, b
-
-
 def _wide_links(distance: int):
     """Rows (node, part_i, part_j, rep, w0..) sorted by the first three -> spanning edges of what links under a node."""
 
@@ -296,16 +298,16 @@ def _wide_links(distance: int):
             codes = m[4:].T.copy().view(np.uint64)
             first = np.append(0, np.flatnonzero((np.diff(m[:3]) != 0).any(axis=0)) + 1)
             sizes = np.diff(np.append(first, m.shape[1]))
-            for size in range(2, LEAF // 2):  # small groups of one size at once
+            for size in range(2, SMALL):  # small groups of one size at once
                 at = first[sizes == size][:, None]
                 if len(at):
                     i, j = np.triu_indices(size, 1)
                     a, b = (at + i).ravel(), (at + j).ravel()
                     near = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1) <= distance
                     add(m[3, a[near]], m[3, b[near]])
-            for at, size in zip(first[sizes >= LEAF // 2], sizes[sizes >= LEAF // 2], strict=True):
+            for at, size in zip(first[sizes >= SMALL], sizes[sizes >= SMALL], strict=True):
                 order = at + np.argsort(gray_rank(codes[at : at + size, 0]), kind="stable")
-                for a, b in wide_pairs(codes[order], distance):
+                for a, b in linked_pairs(codes[order], distance):
                     add(m[3, order[a]], m[3, order[b]])
 
         held: list[np.ndarray] = []

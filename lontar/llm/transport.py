@@ -153,8 +153,8 @@ def padded(text: bytes) -> bytes:
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
+        for at in range(0, whole.num_rows, 64):
+            batch = whole.slice(at, 64)
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1).cast(pa.binary())]
             media = [to_transport(padded(x)) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -164,7 +164,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, n_bytes, media (binary): each whole text as a transport stream.
 
     A null text counts as empty; an empty one has a payload of 64 zero bytes. Null and repeated ids pass through, a
-    row each. Other columns are ignored.
+    row each; an empty table gives an empty one. Other columns are ignored. Streams leave a batch of at most 64 texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")

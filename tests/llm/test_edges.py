@@ -57,7 +57,7 @@ def test_wide_fingerprints(spark):
         for bit in rng.choice(256, int(rng.integers(1, 60)), replace=False):
             codes[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     codes = codes[np.argsort(simhash.gray_rank(codes[:, 0]))]
-    found = sorted((int(a), int(b)) for x, y in simhash.wide_pairs(codes, 30) for a, b in zip(x, y, strict=True))
+    found = sorted((int(a), int(b)) for x, y in simhash.linked_pairs(codes, 30) for a, b in zip(x, y, strict=True))
     assert found == [(a, b) for a in range(len(codes)) for b in range(a + 1, len(codes)) if int(np.bitwise_count(codes[a] ^ codes[b]).sum()) <= 30]
 
 

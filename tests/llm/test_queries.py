@@ -156,6 +156,121 @@ def test_op4(spark, data, docs):
     assert (out.n_passages == 0).sum() > len(out) / 2
 
 
+def test_op1_against_a_plain_version(spark):
+    """Posteriors of every text by the fitted terms, and rates by projected gradient descent over whole documents."""
+    from lontar.llm import mixing
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    domain = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean")
+    domains = sorted(entries.WEIGHTS)
+    terms, odds, prior = mixing.fit_domains(docs, labels.select("doc_id", domain.alias("domain")), domains)
+    texts = dict(docs.select("doc_id", "text").collect())
+    out = entries.op1_mixing(spark, d).toPandas().set_index("doc_id")
+    exact, n = [], []
+    for i in out.index:
+        words = [w for w in texts[i].lower().replace("\n", " ").split(" ") if w]
+        own = set(words) | {f"\n{int(np.floor(np.log2(len(words) + 1)))}/{int(np.floor(len(set(words)) * 10 / max(1, len(words))))}"}
+        z = np.array(prior) + sum((np.array(o) for t, o in zip(terms, odds, strict=True) if t in own), np.zeros(3))
+        p = np.exp(z - z.max())
+        exact.append(p / p.sum())
+        n.append(len(words))
+    exact, n = np.array(exact), np.array(n)
+    got = out[[f"p_{x}" for x in domains]].to_numpy()
+    assert (out.n_tokens.to_numpy() == n).all() and np.abs(got - exact).max() <= 3 / mixing.STEPS
+    whole, kept = (n[:, None] * exact).sum(0), (n[:, None] * got).sum(0)
+    assert np.abs(whole - kept).max() <= 0.01 * n.sum()
+    weights = np.array([entries.WEIGHTS[x] for x in domains])
+    total = kept.max() / weights[kept.argmax()]
+    rate = np.ones(len(n))
+    for _ in range(3000):
+        rate = np.clip(rate - got @ (((rate * n) @ got - weights * total) / kept), 0, 4)
+    assert np.abs((rate * n) @ got - (out.rate.to_numpy() * n) @ got).max() <= 1e-3 * total
+    assert np.abs(rate - out.rate.to_numpy()).max() <= 0.02
+
+
+def test_op10_against_a_plain_version(spark):
+    """Scores by cosines with all labelled texts, one at a time, from counts made anew."""
+    import math
+
+    from lontar.llm import quality
+
+    d = "/root/testdata/sf0.01"
+    table, labels = pd.read_parquet(f"{d}/documents.parquet"), pd.read_parquet(f"{d}/labels.parquet")
+    labels = labels[[zlib.crc32(str(i).encode()) % 5 != 0 for i in labels.doc_id]].set_index("doc_id").quality
+
+    def kind(b):
+        c = chr(b)
+        if b >= 128:
+            return "other"
+        return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "end" if c == "\n" else "space" if c.isspace() else c if 32 < b < 127 else "none"
+
+    def terms(text):
+        raw = text.encode()
+        kinds, words, lines = [kind(b) for b in raw], raw.lower().split(), raw.split(b"\n")
+        out = defaultdict(float)
+        for a, b in zip(kinds, kinds[1:], strict=False):
+            out[a, b] += 100 / len(kinds)
+        n = max(1, len(words))
+        if raw:
+            out["again"] = 100 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+            out["line"] = 100 * (len(lines) - len(set(lines))) / len(lines)
+            out["word"] = 20 * (1 - len(set(words)) / n)
+        return {k: math.log1p(v) for k, v in out.items() if v}
+
+    every = {i: terms(t) for i, t in zip(table.doc_id, table.text, strict=True)}
+    known = [i for i in table.doc_id if i in labels.index]
+    names = sorted({str(t): t for v in every.values() for t in v}.values(), key=str)
+    x = np.array([[every[i].get(t, 0.0) for t in names] for i in known])
+    idf = np.log((1 + len(known)) / (1 + (x > 0).sum(0))) + 0.3
+    unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(-1, keepdims=True)), 1e-9)
+    x = unit(x * idf)
+    axes = np.linalg.svd(x, full_matrices=False)[2][: quality.RANK].T
+    vectors, y = unit(x @ axes), labels.loc[known].to_numpy()
+    out = entries.op10_quality(spark, d).toPandas().set_index("doc_id").score
+    apart = []
+    for i in table.doc_id:
+        near = vectors @ unit(unit(np.array([every[i].get(t, 0.0) for t in names]) * idf) @ axes)
+        top = np.argsort(-near, kind="stable")[: quality.NEIGHBOURS]
+        w = np.clip(near[top], 0, 1) ** quality.SHARPNESS
+        apart.append(abs(out[i] - (w @ y[top] + quality.PRIOR * y.mean()) / (w.sum() + quality.PRIOR)))
+    assert np.quantile(apart, 0.98) < 0.01 and np.mean(apart) < 0.01
+
+
+def test_near_copies_against_all_pairs(spark):
+    from lontar.llm import simhash
+    from lontar.llm.shared import Scratch
+
+    d = "/root/testdata/sf0.01"
+    table = pd.read_parquet(f"{d}/documents.parquet")
+    sets, prints = {}, {}
+    for i, t in zip(table.doc_id, table.text, strict=True):
+        w = [x.decode() for x in t.encode().lower().split()]
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        prints[i] = simhash.wide(simhash.shingles(t.encode())).view(np.uint64) if w else None
+    ids = sorted(sets)
+    similar, linked = [], []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if sets[a] == sets[b]:
+                linked.append((a, b))
+                similar.append((a, b))
+            elif small:
+                if np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.APART:
+                    linked.append((a, b))
+                if small >= 0.8 * large:
+                    both = len(sets[a] & sets[b])
+                    if both >= 0.8 * (small + large - both):
+                        similar.append((a, b))
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(spark.read.parquet(f"{d}/documents.parquet"), Scratch(spark)).collect()}
+    truth = roots(linked, ids)
+    assert sum(out[i] == truth[i] for i in ids) >= 0.99 * len(ids)
+    assert all(truth[a] == truth[b] for a, b in out.items())
+    assert sum(out[a] == out[b] for a, b in similar) >= 0.95 * len(similar)
+
+
 def test_op1(spark, data):
     out = entries.op1_mixing(spark, data).toPandas()
     sums = {d: (out.rate * out.n_tokens * out[f"p_{d}"]).sum() for d in entries.WEIGHTS}
