@@ -15,6 +15,7 @@ from lontar.operators import indexes as N
 from lontar.operators import statistics as S
 from lontar.operators.retrieval import hashed_encoder, run_rows
 from lontar.plans import experiment as P
+from lontar.plans.figure import forest_svg
 from lontar.sources import files as IO
 
 RAW_QUERY = "query_id string, id string, query string, text string"
@@ -42,8 +43,8 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> int:
     """One strategy into the folder itself, several into a folder each."""
     strategies = [s.value for s in P.Strategy] if a.strategy == ["all"] else a.strategy
     roots = IO.read_roots(spark, a.root_dict) if {"sastrawi_clitic", "rule_resolved"} & set(strategies) else None
-    queries = IO.alias_queries(IO.read_jsonl(spark, a.queries_jsonl, RAW_QUERY)).select(F.col("query_id").alias("id"), F.col("text").alias("contents"))
-    corpus = IO.contents(IO.alias_passages(IO.read_jsonl(spark, a.corpus_jsonl, RAW_PASSAGE)))
+    queries = IO.alias_queries(IO.read_jsonl(spark, a.queries_jsonl, RAW_QUERY, "place")).select(F.col("query_id").alias("id"), F.col("text").alias("contents"), "place")
+    corpus = IO.contents(IO.alias_passages(IO.read_jsonl(spark, a.corpus_jsonl, RAW_PASSAGE, "place")))
     for name, rows in (("queries", queries), ("corpus", corpus)):
         for strategy in strategies:
             path = f"{a.output_dir}/{name}" if len(strategies) == 1 else f"{a.output_dir}/{strategy}/{name}"
@@ -157,6 +158,14 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def forest(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Each condition's mean difference from the baseline with its interval, as an SVG drawing."""
+    rows = S.effect_rows(IO.read_metrics(spark, a.metrics, a.metric), a.baseline, a.bootstrap_resamples).orderBy("condition")
+    with open(a.output, "w", encoding="utf8") as f:
+        f.write(forest_svg([r.asDict() for r in rows.collect()], f"{IO.metric_name(a.metric)} against {a.baseline}"))  # a row for each condition
+    return 0
+
+
 def gate(spark: SparkSession, a: argparse.Namespace) -> int:
     row = E.baseline_gate(IO.read_baseline(spark, a.csv, a.metric), a.reference, a.tolerance).first()
     print(row["line"])
@@ -205,6 +214,8 @@ def parser() -> argparse.ArgumentParser:
     command(evaluate, ["qrels", "run", "condition", "output"], summary_output=None)
     c = command(analyze, [], metric="ndcg_10", output=None, pairwise_output=None, friedman_output=None, stratified_output=None, sensitivity=None, bootstrap_resamples=10_000)
     c.add_argument("--metrics", nargs="+", required=True)
+    c = command(forest, ["baseline", "output"], metric="ndcg_10", bootstrap_resamples=10_000)
+    c.add_argument("--metrics", nargs="+", required=True)
     c = command(gate, ["csv"], metric="ndcg_10", tolerance=0.02)
     c.add_argument("--reference", type=float, required=True)
     command(verify, [], root_dict=None).add_argument("--remover", choices=list(REMOVERS), default="suffix")

@@ -79,19 +79,26 @@ def baseline_gate(values: DataFrame, reference: float, tolerance: float = 0.02,
 def containment_judgments(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, doc_id, relevance 1 where a document's text holds a query's.
 
-    Candidates share the query's second to fourth token (its first and last may be parts of longer words); they are
-    verified on the texts. Queries of fewer than five tokens have no such run inside and are held against every text.
+    Candidates share the query's second to fourth token, or its only inner ones if it has three or four (its first and
+    last may be parts of longer words); they are verified on the texts. Queries of one or two tokens have no token
+    inside and are held against every text.
     """
     from lontar.functions.text import tokens
 
     asked = queries.select("query_id", F.col("text").alias("query_text"), tokens(F.col("text")).alias("t"))
-    long = asked.where(F.size("t") >= 5).select("query_id", "query_text", F.xxhash64(F.array_join(F.slice("t", 2, 3), " ")).alias("key"))
+    inner = F.least(F.lit(3), F.size("t") - 2)
+    long = asked.where(F.size("t") >= 3).select("query_id", "query_text", F.xxhash64(F.array_join(F.slice("t", F.lit(2), inner), " ")).alias("key"), inner.alias("n"))
+    sizes = [r["n"] for r in long.select("n").distinct().collect()]  # 1 to 3
     words = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.lit(3)), " ")))
-    places = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
+
+    def grams(n: int) -> F.Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.lit(n)), " ")))
+
+    places = words.select("doc_id", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]) if sizes else F.array().cast("array<bigint>"))).alias("key"))
+    long = long.drop("n")
     near = places.join(long, "key").select("query_id", "query_text", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
     found = near.where(F.col("text").contains(F.col("query_text"))).select("query_id", "doc_id")
-    short = asked.where(F.size("t") < 5).select("query_id", "query_text")
+    short = asked.where(F.size("t") < 3).select("query_id", "query_text")
     rest = docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("query_text"))).select("query_id", "doc_id")
     return found.unionByName(rest).distinct().withColumn("relevance", F.lit(1))
 

@@ -69,8 +69,9 @@ def apply_strategy(df: DataFrame, strategy: str, roots: DataFrame | None = None,
 
 
 def prepared(rows: DataFrame, roots: DataFrame, strategies: list[str] | None = None, suffix: str = "nya", limit: int | None = None, remover: Callable[[Column], Column] | None = None) -> DataFrame:
-    """strategy, id, contents of (id, contents) under each strategy; ``limit`` takes the first rows by id."""
-    base = rows.orderBy("id").limit(limit) if limit is not None else rows
+    """strategy, id, contents of (id, contents) under each strategy; ``limit`` takes the first rows by ``place``, where
+    there is such a column, else by id."""
+    base = rows.orderBy("place" if "place" in rows.columns else "id").limit(limit) if limit is not None else rows
     out = None
     for name in strategies or [s.value for s in Strategy]:
         one = apply_strategy(base, name, roots, suffix=suffix, remover=remover).select(F.lit(name).alias("strategy"), "id", "contents")

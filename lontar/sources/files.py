@@ -10,6 +10,7 @@ import hashlib
 import json
 import os
 import tomllib
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,12 +61,14 @@ def located(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
     return before.groupBy("file", "b", "r", "reason").agg(F.count("*").alias("line")).select("file", "line", "reason").orderBy("file", "line")
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Rows of JSON lines under ``schema``; anything but an object fails. Blank lines are skipped."""
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, place: str | None = None) -> DataFrame:
+    """Rows of JSON lines under ``schema``; anything but an object fails. Blank lines are skipped. ``place`` names a column
+    that orders rows as the files have them."""
     rows = lines(spark, path)
     value = _checked(_checked(F.col("value"), _object(), "JSONL row must be an object"), F.try_parse_json("value").isNotNull(), "invalid JSON")
     fields = T.StructType.fromDDL(schema)
-    return rows.select(F.from_json(value, fields).alias("row")).select("row.*")
+    parsed = rows.select(F.from_json(value, fields).alias("row"), F.struct("file", "line").alias("_place"))
+    return parsed.select("row.*", *([F.col("_place").alias(place)] if place else []))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -127,7 +130,7 @@ def alias_queries(rows: DataFrame) -> DataFrame:
     """query_id, text of raw query rows with any of their names; a row without one fails."""
     from lontar.functions.text import first_filled, required
 
-    return rows.select(required(first_filled(*_have(rows, "query_id", "id")), "query needs one of query_id, id").alias("query_id"), required(first_filled(*_have(rows, "query", "text")), "query needs one of query, text").alias("text"))
+    return rows.select(required(first_filled(*_have(rows, "query_id", "id")), "query needs one of query_id, id").alias("query_id"), required(first_filled(*_have(rows, "query", "text")), "query needs one of query, text").alias("text"), *_place(rows))
 
 
 def alias_passages(rows: DataFrame) -> DataFrame:
@@ -135,7 +138,11 @@ def alias_passages(rows: DataFrame) -> DataFrame:
     from lontar.functions.text import first_filled, required
 
     title = first_filled(*_have(rows, "title")) if "title" in rows.columns else F.lit(None).cast("string")
-    return rows.select(required(first_filled(*_have(rows, "docid", "doc_id", "id")), "passage needs one of docid, doc_id, id").alias("doc_id"), title.alias("title"), required(first_filled(*_have(rows, "text")), "passage needs text").alias("text"))
+    return rows.select(required(first_filled(*_have(rows, "docid", "doc_id", "id")), "passage needs one of docid, doc_id, id").alias("doc_id"), title.alias("title"), required(first_filled(*_have(rows, "text")), "passage needs text").alias("text"), *_place(rows))
+
+
+def _place(rows: DataFrame) -> list[str]:
+    return ["place"] if "place" in rows.columns else []
 
 
 def _have(rows: DataFrame, *names: str) -> list[Column]:
@@ -145,7 +152,7 @@ def _have(rows: DataFrame, *names: str) -> list[Column]:
 
 def contents(passages: DataFrame) -> DataFrame:
     """id, contents: the title and a line end before the text, where there is a title."""
-    return passages.select(F.col("doc_id").alias("id"), F.concat_ws("\n", "title", "text").alias("contents"))
+    return passages.select(F.col("doc_id").alias("id"), F.concat_ws("\n", "title", "text").alias("contents"), *_place(passages))
 
 
 def read_roots(spark: SparkSession, path: str | None) -> DataFrame:
@@ -155,9 +162,15 @@ def read_roots(spark: SparkSession, path: str | None) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("root")).where("root <> ''").distinct()
 
 
-def roots_or_default(spark: SparkSession, path: str | None = None) -> DataFrame:
+def roots_or_default(spark: SparkSession, path: str | None = None, bundled: str | None = None) -> DataFrame:
+    """Roots of the file ``path``, else of a dictionary that another package brings along, else a few for tests. A
+    ``bundled`` file that isn't there is told by a warning."""
     if path:
         return read_roots(spark, path)
+    if bundled:
+        if os.path.exists(bundled):
+            return read_roots(spark, bundled)
+        warnings.warn(f"{bundled} isn't there; only {len(DEFAULT_ROOTS)} roots are known", stacklevel=2)
     return spark.createDataFrame([(r,) for r in DEFAULT_ROOTS], "root string")
 
 
@@ -240,6 +253,11 @@ def count_rows(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.trim("value") != "").count()
 
 
+def read_dense_metadata(spark: SparkSession, path: str) -> dict:
+    """num_docs, dimension, model, created of a dense index."""
+    return spark.read.json(f"{path}/metadata").first().asDict()
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of each file under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

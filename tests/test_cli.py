@@ -66,6 +66,9 @@ def test_sweep_and_subset(spark, tmp_path, capsys):
     rows = spark.read.option("header", True).csv(p("done/summary")).collect()
     assert {r.condition: float(r["ndcg@10_mean"]) for r in rows if r.condition.startswith("bm25")} == {"bm25__keep": 1.0, "bm25__naive_strip": 1.0} and len(rows) == 4
     assert main([*sweep, "--force", "--reference", "0.2"]) == 1
+    metrics = [p(f"done/metrics/bm25__{s}") for s in both]
+    assert main(["forest", "--metrics", *metrics, "--baseline", "bm25__keep", "--output", p("f.svg"), "--bootstrap-resamples", "50"]) == 0
+    assert "bm25__naive_strip" in (tmp_path / "f.svg").read_text()
     assert main(["subset", "--processed-dir", p("out"), "--qrels", p("qrels"), "--output-dir", p("small"), "--strategies", *both, "--queries", "2", "--extra-docs", "3"]) == 0
     assert [spark.read.json(p(f"small/{s}/{n}")).count() for s in both for n in ("queries", "corpus")] == [2, 5, 2, 5]
     assert main(["index", "--retriever", "bm25", "--collection-dir", p("out/keep/corpus"), "--index-dir", p("i"), "--dry-run"]) == 0

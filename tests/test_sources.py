@@ -59,6 +59,8 @@ def test_roots_and_counts(spark, tmp_path):
     assert IO.roots_or_default(spark).count() == 4
     with pytest.raises(BadInput):
         IO.read_roots(spark, None)
+    with pytest.warns(UserWarning, match="isn't there"):
+        assert IO.roots_or_default(spark, bundled=str(tmp_path / "none.txt")).count() == 4
 
 
 def test_csv_and_config(spark, tmp_path):

@@ -104,6 +104,6 @@ def test_stream(spark, tmp_path):
 
 
 def test_containment(spark):
-    queries = spark.createDataFrame([(1, "aa bb cc dd ee ff"), (2, "cc dd"), (3, "no such text in here")], "query_id long, text string")
+    queries = spark.createDataFrame([(1, "aa bb cc dd ee ff"), (2, "cc dd"), (3, "no such text in here"), (4, "b cc d")], "query_id long, text string")
     docs = spark.createDataFrame([(1, "xaa bb cc dd ee ffy"), (2, "aa bb cc"), (3, "cc dd")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in E.containment_judgments(queries, docs).collect()) == [(1, 1, 1), (2, 1, 1), (2, 3, 1)]
+    assert sorted(tuple(r) for r in E.containment_judgments(queries, docs).collect()) == [(1, 1, 1), (2, 1, 1), (2, 3, 1), (4, 1, 1)]
