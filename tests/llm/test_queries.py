@@ -76,6 +76,32 @@ def test_op5(spark, data, docs):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_op5_notices_against_a_plain_version(spark, docs):
+    """Labels and scores by trying every alignment of every template, from document frequencies counted anew."""
+    from math import log
+
+    from lontar.llm import licenses
+
+    texts = [*docs.text, "Licensed under the Apache License, Version 2.0 and so on", "this work is licensed under the GNU General Public License; version 3", "gnu lesser general public license and mit", "Released under the MIT License. Licensed under CC BY-SA 4.0!", "permission is hereby granted, free of charge, to any person"]
+    words = [re.findall(WORD, lower(t)) for t in texts]
+    df = {v: sum(v in set(w) for w in words) for v in licenses.VOCABULARY}
+    idf = {v: log((2 + len(words)) / (1 + n)) for v, n in df.items()}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    for i, w in enumerate(words):
+        labels, best = set(), 0.0
+        for t in licenses.TEMPLATES:
+            top = sorted({v for v, _ in t.postings if v in w}, key=lambda v: (-idf[v], v))[: licenses.LOOKED_UP]
+            at = lambda k: w[k] if 0 <= k < len(w) else None
+            for o in {k - p for k, v in enumerate(w) for x, p in t.postings if v == x and v in top}:
+                agreed = {v for v, p in t.postings if v in top and at(o + p) == v}
+                stands = all(any(all(at(o + f + d + k) == v for k, v in enumerate(part)) for d in range(-t.slack, t.slack + 1)) for f, part in t.phrases)
+                if len(agreed) >= min(t.need, len(top)) and stands:
+                    labels.add(t.label)
+                    best = max(best, sum(idf[v] for v, p in t.postings if at(o + p) == v) / sum(idf[v] for v, _ in t.postings))
+        assert out[i].labels == ",".join(sorted(labels)) and out[i].score == pytest.approx(best)
+
+
 def test_op7(spark, data, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
