@@ -45,10 +45,11 @@ def _terms(words: Column, distinct: Column) -> Column:
     return F.array_append(distinct, F.concat(F.lit("\n"), size, F.lit("/"), ratio))
 
 
-def _tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col)).alias("words"))
-    both = words.select("doc_id", "words", F.array_distinct("words").alias("distinct"))
-    return both.select("doc_id", F.size("words").cast("long").alias("n_tokens"), _terms(F.col("words"), F.col("distinct")).alias("terms"))
+def _tokenised(docs: DataFrame, text: Column, words: str, terms: str) -> DataFrame:
+    """``docs`` with columns ``words`` and ``terms`` of ``text``."""
+    distinct = free_name(docs, "_distinct")
+    both = docs.withColumn(words, _words(text)).withColumn(distinct, F.array_distinct(words))
+    return both.withColumn(terms, _terms(F.col(words), F.col(distinct))).drop(distinct)
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[str], list[list[float]], list[float]]:
@@ -60,7 +61,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
     known = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("domain").alias("domain"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     ids = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id")
-    rows = _tokenised(ids, "_id", "_text").select("doc_id", "terms").join(chosen, F.col("doc_id") == F.col("_id"))
+    rows = _tokenised(ids, F.col("_text"), "words", "terms")
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(rows.select("domain", "terms"))
     size = {d: 0 for d in domains} | {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -94,22 +95,22 @@ def _doubles(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]], list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, p (array<double>, multiples of 1/STEPS that sum to 1): one row per row of ``docs``."""
-    terms, odds, prior = model
+def with_posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]], list[float]], text: Column, p: str, n_tokens: str) -> DataFrame:
+    """``docs`` with ``p`` (array<double>, multiples of 1/STEPS that sum to 1) and ``n_tokens`` of ``text``."""
+    known_terms, odds, prior = model
     k = len(prior)
-    known = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    weights = F.array(*[_doubles(o) for o in odds]) if terms else F.array(_doubles([0.0] * k))
-    found = F.array_intersect("terms", known)
-    logits = F.aggregate(found, _doubles(prior), lambda a, t: F.zip_with(a, F.element_at(weights, F.array_position(known, t).cast("int")), lambda x, y: x + y))
-    rows = _tokenised(docs, id_col, text_col).select("doc_id", "n_tokens", logits.alias("z"))
-    rows = rows.withColumn("z", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
-    total = F.aggregate("z", F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn("p", F.transform("z", lambda x: F.floor(x / total * STEPS).cast("double")))
+    known = F.array(*[F.lit(t) for t in known_terms]) if known_terms else F.array().cast("array<string>")
+    weights = F.array(*[_doubles(o) for o in odds]) if known_terms else F.array(_doubles([0.0] * k))
+    words, terms, z = (free_name(docs, name) for name in ("_words", "_terms", "_z"))
+    logits = F.aggregate(F.array_intersect(terms, known), _doubles(prior), lambda a, t: F.zip_with(a, F.element_at(weights, F.array_position(known, t).cast("int")), lambda x, y: x + y))
+    rows = _tokenised(docs, text, words, terms).withColumn(n_tokens, F.size(words).cast("long")).withColumn(z, logits).drop(words, terms)
+    rows = rows.withColumn(z, F.transform(z, lambda x: F.exp(x - F.array_max(z))))
+    total = F.aggregate(z, F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn(p, F.transform(z, lambda x: F.floor(x / total * STEPS).cast("double")))
     # What rounding down left over goes to the likeliest domain, the first of equals.
-    first = F.array_position("z", F.array_max("z")) - 1
-    rest = F.lit(float(STEPS)) - F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("doc_id", "n_tokens", F.transform("p", lambda x, i: (x + F.when(i == first, rest).otherwise(0.0)) / STEPS).alias("p"))
+    first = F.array_position(z, F.array_max(z)) - 1
+    rest = F.lit(float(STEPS)) - F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumn(p, F.transform(p, lambda x, i: (x + F.when(i == first, rest).otherwise(0.0)) / STEPS)).drop(z)
 
 
 def _stepped(rate: Column, history: list[list[float]], most: float) -> Column:
@@ -167,28 +168,40 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     domain without a labelled document or without tokens is no target. Of equally likely domains the first by name is
     the likeliest. An empty table gives an empty one. Other columns are ignored.
     """
+    _, _, rates, rows = _rated(docs, labelled, weights, total, most, id_col, text_col)
+    rated = rows.join(rates, "p")  # a table, so Spark broadcasts it if it is small; else a popular posterior is split
+    return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(weights))], "rate", _copies("rate", F.col("doc_id")).alias("copies"))
+
+
+def _copies(rate: str, key: Column) -> Column:
+    return F.floor(F.col(rate) + F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)).cast("long")
+
+
+def _rated(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None, most: float, id_col: str, text_col: str) -> tuple:
+    """The model, cells of equal posteriors, their rates, and (doc_id, n_tokens, p) of each row."""
     domains = sorted(weights)
     share = sum(weights.values())
     scratch = Scratch(docs.sparkSession)
     model = fit_domains(docs, labelled, domains, id_col, text_col)
-    rows = scratch.write(posteriors(docs, model, id_col, text_col))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = scratch.write(with_posteriors(named, model, F.col("text"), "p", "n_tokens").select("doc_id", "n_tokens", "p"))
     cells = scratch.write(rows.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")))
     rates = fit_rates(cells, [weights[d] / share for d in domains], scratch, total, most).select("p", "rate")
-    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rated = rows.join(rates, "p")  # a table, so Spark broadcasts it if it is small; else a popular posterior is split
-    return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", F.floor(F.col("rate") + dealt).cast("long").alias("copies"))
+    return model, cells, rates, rows
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, most: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, as often as their copies say (with ``most`` = 1 once or never), columns as they were.
 
-    Rows with a null id stay once.
+    Rows with a null id stay once. Posteriors are computed again beside the text, so that texts aren't shuffled.
     """
-    found = mix(docs, labelled, weights, total, most, id_col, text_col).where("doc_id is not null")
-    own, copies = free_name(docs, "_mixed"), free_name(docs, "_copies")
-    times = found.groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(copies))
-    joined = docs.join(times, F.col(id_col).cast("long") == F.col(own), "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
-    kept = joined.where(F.col(copies) >= 1)
+    model, _, rates, _ = _rated(docs, labelled, weights, total, most, id_col, text_col)
+    p, n, rate, copies = (free_name(docs, name) for name in ("_p", "_n", "_rate", "_copies"))
+    rows = with_posteriors(docs, model, F.col(f"`{text_col}`"), p, n).drop(n)
+    rated = rows.join(rates.select(F.col("p").alias(p), F.col("rate").alias(rate)), p)
+    key = F.col(f"`{id_col}`").cast("long")
+    rated = rated.withColumn(copies, F.when(key.isNull(), 1).otherwise(_copies(rate, key)))
+    kept = rated.where(F.col(copies) >= 1)
     if most > 1:
         kept = kept.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
-    return kept.drop(own, copies)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,6 +32,60 @@ def test_stages(spark, data):
     assert packed.groupby("doc_id").length.sum().eq(packed.groupby("doc_id").doc_tokens.max()).all()
 
 
+def test_stages_against_plain_versions(spark, data):
+    """Each stage's rows by loops over its input: scores, all pairs of fingerprints, replaced values, rates and hashes."""
+    import zlib
+
+    import numpy as np
+    from lontar.llm import mixing, pii, quality, simhash
+    from test_edges import _python_pseudonym
+    from test_queries import roots
+
+    stages, scratch = dict(corpus_pipeline.STAGES), Scratch(spark)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = pd.read_parquet(f"{data}/labels.parquet").set_index("doc_id")
+
+    def frame(df):
+        return df.toPandas().set_index("doc_id")
+
+    before, after = docs, scratch.write(stages["quality"](spark, docs, data))
+    table = frame(before)
+    known = [i for i in table.index if i in labels.index and zlib.crc32(str(i).encode()) % 5]
+    model = quality.Model(np.stack([quality.counts(table.text[i].encode()) for i in known]), labels.quality.loc[known].to_numpy() > 0, quality.RANK, quality.NEIGHBOURS)
+    scores = dict(zip(table.index, model.scores([t.encode() for t in table.text]), strict=True))
+    kept = set(frame(after).index)
+    assert all((scores[i] >= 0.3) == (i in kept) for i in table.index if abs(scores[i] - 0.3) > 0.01)
+
+    before, after = after, scratch.write(stages["near_dedup"](spark, after, data))
+    table = frame(before)
+    prints = {i: simhash.wide(simhash.shingles(t.encode())).view(np.uint64) for i, t in table.text.items() if t.split()}
+    ids = sorted(prints)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.APART]
+    truth = roots(near, ids)
+    kept = set(frame(after).index)
+    assert sum((truth[i] == i) == (i in kept) for i in ids) >= 0.97 * len(ids)  # masks miss some pairs at the distance itself
+
+    before, after = after, scratch.write(stages["pseudonyms"](spark, after, data))
+    table, out = frame(before), frame(after)
+    pattern = re.compile(pii.ANY)
+    for i, t in table.text.items():
+        made = [_python_pseudonym(m[0], corpus_pipeline.PSEUDONYM_KEY) for m in pattern.finditer(t)]
+        if None not in made:
+            it = iter(made)
+            assert out.text[i] == pattern.sub(lambda m: next(it), t)  # noqa: B023
+
+    before, after = after, scratch.write(stages["mixing"](spark, after, data))
+    domain = mixing.F.when(mixing.F.col("toxic") == 1, "toxic").when(mixing.F.col("toxic") == 0, "clean")
+    rated = frame(mixing.mix(before, spark.read.parquet(f"{data}/labels.parquet").select("doc_id", domain.alias("domain")), corpus_pipeline.WEIGHTS, most=1.0))
+    p, n = rated[["p_clean", "p_toxic"]].to_numpy(), rated.n_tokens.to_numpy()
+    weights, rate, mass = np.array([0.98, 0.02]), np.ones(len(n)), n @ p
+    for _ in range(5000):
+        rate = np.clip(rate - p @ (((rate * n) @ p - weights * mass[0] / 0.98) / np.maximum(mass, 1e-9)), 0, 1)
+    assert np.abs(rate - rated.rate.to_numpy()).max() < 0.02
+    kept = set(frame(after).index)
+    assert kept == set(rated.index[rated.copies >= 1]) and all(i in kept for i in rated.index if rated.rate[i] >= 1)
+
+
 def test_run(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
