@@ -172,6 +172,11 @@ def gate(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0 if row["passed"] else 1
 
 
+def archive(spark: SparkSession, a: argparse.Namespace) -> int:
+    print(IO.archive(spark, a.input, a.output), "files")
+    return 0
+
+
 def verify(spark: SparkSession, a: argparse.Namespace) -> int:
     roots = IO.roots_or_default(spark, a.root_dict)
     out = P.report(spark, [("word", w) for w in FALSE_POSITIVES], roots, remover=REMOVERS[a.remover])
@@ -218,6 +223,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--metrics", nargs="+", required=True)
     c = command(gate, ["csv"], metric="ndcg_10", tolerance=0.02)
     c.add_argument("--reference", type=float, required=True)
+    command(archive, ["input", "output"])
     command(verify, [], root_dict=None).add_argument("--remover", choices=list(REMOVERS), default="suffix")
     return top
 

@@ -122,13 +122,17 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _cut(text: Column, word: str, suffix: str, window: int) -> Column:
-    """``text`` cut before each word of class ``word`` that ends with the suffix: array of (piece, left, at).
+def _cut(text: Column, word: str, suffix: str, window: int, hosts: Column | None = None) -> Column:
+    """``text`` cut before each word of class ``word`` that ends with the suffix: array of (piece, left, at). With
+    ``hosts`` (lower-cased letters) only words that have one of them before the suffix count.
 
     left is what stands before the piece, as far back as ``window`` + 1 sentences that aren't blank (all of it if
     ``window`` isn't positive), so that a long text costs its length and not its square; at is the piece's offset.
     """
-    pieces = F.split(text, rf"(?i)(?<!{WORD})(?={word}+{suffix}(?!{WORD}))")
+    if hosts is None:
+        pieces = F.split(text, rf"(?i)(?<!{WORD})(?={word}+{suffix}(?!{WORD}))")
+    else:
+        pieces = F.split(text, F.concat(F.lit(rf"(?iu)(?<!{WORD})(?=(?:"), F.array_join(hosts, "|"), F.lit(rf"){suffix}(?!{WORD}))")))
     start = F.struct(F.lit("").alias("tail"), F.lit(0).alias("at"), F.array().cast("array<struct<piece:string,left:string,at:int>>").alias("out"))
 
     def trimmed(chunks: Column) -> Column:
@@ -163,12 +167,12 @@ def occurrences(text: Column, known: Column, suffix: str = "nya", window: int =
 
         return _let(antecedent(c["left"], suffix, window), labelled)
 
-    clitics = F.filter(_cut(text, "[A-Za-zÀ-ÿ]", suffix, window), lambda c: F.array_contains(known, F.lower(F.regexp_extract(c["piece"], shape, 2))))
+    clitics = F.filter(_cut(text, "[A-Za-zÀ-ÿ]", suffix, window, known), lambda c: F.array_contains(known, F.lower(F.regexp_extract(c["piece"], shape, 2))))
     return F.transform(clitics, one)
 
 
 def resolved(text: Column, known: Column, suffix: str = "nya", window: int = 2, tagger: Callable[[Column], Column] | None = None) -> Column:
-    """Each anaphoric occurrence gives way to its root and antecedent."""
+    """Each anaphoric occurrence gives way to its root and antecedent; a text without known roots stays as it is."""
     found = F.filter(occurrences(text, known, suffix, window, tagger), lambda o: o["function"] == "anaphoric")
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
@@ -176,7 +180,8 @@ def resolved(text: Column, known: Column, suffix: str = "nya", window: int = 2,
         done = F.concat(state["done"], F.substring(text, state["at"] + 1, o["start"] - state["at"]), o["root"], F.lit(" "), o["antecedent"])
         return F.struct(done.alias("done"), o["stop"].alias("at"))
 
-    return F.aggregate(found, start, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
+    whole = F.aggregate(found, start, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(known) == 0, text).otherwise(whole)
 
 
 def count_suffix(text: Column, suffix: str = "nya") -> Column:

@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -69,6 +70,9 @@ def test_sweep_and_subset(spark, tmp_path, capsys):
     metrics = [p(f"done/metrics/bm25__{s}") for s in both]
     assert main(["forest", "--metrics", *metrics, "--baseline", "bm25__keep", "--output", p("f.svg"), "--bootstrap-resamples", "50"]) == 0
     assert "bm25__naive_strip" in (tmp_path / "f.svg").read_text()
+    assert main(["archive", "--input", p("done/runs"), "--output", p("runs.zip")]) == 0
+    with zipfile.ZipFile(p("runs.zip")) as z:
+        assert any(n.startswith("bm25__keep/") for n in z.namelist()) and "manifest.json" in z.namelist()
     assert main(["subset", "--processed-dir", p("out"), "--qrels", p("qrels"), "--output-dir", p("small"), "--strategies", *both, "--queries", "2", "--extra-docs", "3"]) == 0
     assert [spark.read.json(p(f"small/{s}/{n}")).count() for s in both for n in ("queries", "corpus")] == [2, 5, 2, 5]
     assert main(["index", "--retriever", "bm25", "--collection-dir", p("out/keep/corpus"), "--index-dir", p("i"), "--dry-run"]) == 0

@@ -8,6 +8,7 @@ from lontar.errors import BadInput
 from lontar.functions import text as X
 from lontar.plans import experiment as P
 
+# Fixed values throughout this file: published sentences and what becomes of them.
 ROOTS = ["rumah", "buku", "pidato"]
 
 
