@@ -50,7 +50,8 @@ def split_hot(df: DataFrame, key: str, item: str, most: int, scratch: Scratch) -
 
     A larger group is cut into k = ceil(rows / most) chunks by the hash of ``item`` and each row goes to
     every pair of chunks that holds its own, so that any two rows of the group meet in some (part_i, part_j)
-    and no part holds much over 2 x ``most`` rows. ``own`` is a row's own chunk. ``item`` must tell the rows of a group apart.
+    and no part holds much over 2 x ``most`` rows. A row of such a group is copied k times, so what moves grows with the
+    square of the group over ``most``: callers compare all of a group only where nothing less tells them apart. ``own`` is a row's own chunk. ``item`` must tell the rows of a group apart.
     """
     hot = df.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / F.lit(most)).cast("int").alias("_k"))
     hot = scratch.write(hot)  # as a table it is broadcast if small, and else Spark can split the hot side of the join

@@ -463,14 +463,15 @@ def test_transport(docs, none):
         transport.from_transport(lost)
     with pytest.raises(ValueError, match="sync"):
         transport.from_transport(b"\0" * 376)
-    out = transport.read_back(transport.store(docs))
+    out = transport.read_back(transport.store(docs.withColumn("media", F.lit(1)).withColumn("points", F.lit(1))))
     assert out.where("doc_id in (3, 4) and n_bytes = 0 and payload_bytes = 64").count() == 2 and out.count() == 9
     assert transport.read_back(transport.store(none)).count() == 0
 
 
 def test_chat(spark):
     rows = [(1, 0, "system", "s\\<|im_end|>"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (2, 0, "system", "s\\<|im_end|>"), (2, 1, "user", "hi"), (2, 2, "assistant", "yes"), (3, 0, "system", "s\\<|im_end|>"), (4, None, None, None), (4, None, None, None), (5, 0, "ro\nle\\n", "x\\n<|"), (None, 0, "user", "q")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit(1)).withColumn("leaf", F.lit(1))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = turns.select("*", *[F.lit(1).alias(c) for c in ("key", "leaf", "turns", "number", "starts", "t")])
     nodes, convs = chat.prefix_tree(turns, Scratch(spark))
     out = {r.conv_id: r for r in chat.read_back(nodes, convs).collect()}
     assert {k: r.n_turns for k, r in out.items()} == {1: 3, 2: 3, 3: 1, 4: 2, 5: 1, None: 1} and out[2].loss_chars == 3 and out[1].loss_chars == 0
