@@ -10,9 +10,9 @@ shuffle. j grows with the number of distinct fingerprints, so that a node holds
 Under a top node, codes are sorted by Gray rank. ``FAN`` neighbours form a node that keeps the bits on which all its
 codes agree, ``FAN`` such nodes the next one, and so on. Pairs of nodes are followed from the top; differences on bits on
 which both sides agree are accumulated from level to level, and a pair is pruned with all below it as soon as they
-exceed the distance. A top node of over ``MOST`` codes is dealt to several tasks by
-pairs of its chunks. Links are reduced to spanning edges where they are found; exact copies never get there, since
-the index holds distinct fingerprints only.
+exceed the distance. Codes of a top node of over ``MOST`` are held against their neighbours in Gray order, and those that
+are then outside its largest class against all others. Links are reduced to spanning edges where they are found; exact
+copies never get there, since the index holds distinct fingerprints only.
 
 Near copies (``keep_one``). Documents whose sets of word 5-shingles have a Jaccard similarity of 0.8 differ in 15 % of
 fingerprint bits at most, which is more than choices of whole segments can index. So a wider fingerprint is taken, of
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.shared import Scratch, connected_components, free_name, spanning, split_hot
+from lontar.llm.shared import Scratch, connected_components, free_name, spanning
 
 SEED = 42
 #: Neighbours in Gray order that a node of the index holds, and pairs of nodes that are followed at once.
@@ -156,57 +156,159 @@ def linked_pairs(codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray,
         waiting.append((level - 1, a[inside], b[inside], apart[parent], known[parent]))
 
 
-def _links(distance: int):
+def _held(batches: Iterator[pa.RecordBatch], columns: int, key: int, done) -> None:
+    """Call ``done`` with matrices of rows whose groups, told by the first ``key`` columns, are whole."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(columns)])
+        last = int(np.flatnonzero((m[:key] != m[:key, -1:]).any(axis=0))[-1] + 1) if (m[:key, 0] != m[:key, -1]).any() else 0
+        if last:
+            done(np.concatenate([*held, m[:, :last]], axis=1))
+            held = [m[:, last:]]
+        elif held and (held[-1][:key, -1] != m[:key, 0]).any():
+            done(np.concatenate(held, axis=1))
+            held = [m]
+        else:
+            held.append(m)
+    if held:
+        done(np.concatenate(held, axis=1))
+
+
+class _Edges:
+    """Edges that are reduced to spanning ones whenever they become many."""
+
+    def __init__(self):
+        self.found: list[np.ndarray] = []
+        self.count = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.found.append(np.stack([a, b]))
+        self.count += len(a)
+        if self.count > 2_000_000:
+            self.found = [np.stack(spanning(*np.concatenate(self.found, axis=1)))]
+            self.count = self.found[0].shape[1]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            a, b = spanning(*np.concatenate(self.found, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _links(distance: int, words: int):
+    """Rows (node, rep, words) sorted by node -> spanning edges of what links under a node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        count = 0
-
-        def group(codes: np.ndarray, ids: np.ndarray) -> None:
-            nonlocal found, count
-            if len(codes) < 2:
-                return
-            order = np.argsort(gray_rank(codes), kind="stable")
-            codes, ids = codes[order], ids[order]
-            for a, b in linked_pairs(codes, distance):
-                found.append(np.stack([ids[a], ids[b]]))
-                count += len(a)
-                if count > 2_000_000:
-                    found = [np.stack(spanning(*np.concatenate(found, axis=1)))]
-                    count = found[0].shape[1]
-
-        held: list[tuple[np.ndarray, ...]] = []
+        edges = _Edges()
+
+        def groups(m: np.ndarray) -> None:
+            codes = m[2:].T.copy().view(np.uint64)
+            first = np.append(0, np.flatnonzero(np.diff(m[0])) + 1)
+            sizes = np.diff(np.append(first, m.shape[1]))
+            for size in range(2, SMALL):  # small groups of one size at once
+                at = first[sizes == size][:, None]
+                if len(at):
+                    i, j = np.triu_indices(size, 1)
+                    a, b = (at + i).ravel(), (at + j).ravel()
+                    near = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1) <= distance
+                    edges.add(m[1, a[near]], m[1, b[near]])
+            for at, size in zip(first[sizes >= SMALL], sizes[sizes >= SMALL], strict=True):
+                order = at + np.argsort(gray_rank(codes[at : at + size, 0]), kind="stable")
+                for a, b in linked_pairs(codes[order], distance):
+                    edges.add(m[1, order[a]], m[1, order[b]])
+
+        _held(batches, 2 + words, 1, groups)
+        yield from edges.batches()
+
+    return run
+
+
+def _neighbours(distance: int, words: int):
+    """Rows (node, rep, words) in Gray order under each node -> spanning edges between a row and the next ``FAN`` ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _Edges()
+        kept = np.zeros((2 + words, 0), np.int64)
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            key, i, j = cols[:3]
-            if not len(key):
-                continue
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            pieces = [tuple(c[a:b] for c in cols) for a, b in zip(np.append(0, cuts), np.append(cuts, len(key)), strict=True)]
-            for piece in pieces:
-                if held and any(held[-1][c][0] != piece[c][0] for c in range(3)):
-                    group(np.concatenate([x[3] for x in held]).view(np.uint64), np.concatenate([x[4] for x in held]))
-                    held = []
-                held.append(piece)
-        if held:
-            group(np.concatenate([x[3] for x in held]).view(np.uint64), np.concatenate([x[4] for x in held]))
-        if found:
-            a, b = spanning(*np.concatenate(found, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            m = np.concatenate([kept, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(2 + words)])], axis=1)
+            codes = m[2:].view(np.uint64)
+            for step in range(1, min(FAN, m.shape[1] - 1) + 1):
+                near = (m[0, step:] == m[0, :-step]) & (np.bitwise_count(codes[:, step:] ^ codes[:, :-step]).sum(axis=0) <= distance)
+                edges.add(m[1, step:][near], m[1, :-step][near])
+            kept = m[:, -FAN:]
+        yield from edges.batches()
+
+    return run
+
+
+def _strays(distance: int, words: int):
+    """Rows (node, part, stray, rep, words) sorted by node and part -> spanning edges between strays and all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _Edges()
+
+        def groups(m: np.ndarray) -> None:
+            first = np.append(0, np.flatnonzero((np.diff(m[:2]) != 0).any(axis=0)) + 1)
+            for rows in np.split(m, first[1:], axis=1):
+                stray = rows[2] == 1
+                own, others = rows[4:, stray].view(np.uint64), rows[4:, ~stray].view(np.uint64)
+                for at in range(0, own.shape[1], 64):
+                    a, b = np.nonzero(np.bitwise_count(own[:, at : at + 64, None] ^ others[:, None, :]).sum(axis=0) <= distance)
+                    edges.add(rows[3, stray][at + a], rows[3, ~stray][b])
+
+        _held(batches, 4 + words, 2, groups)
+        yield from edges.batches()
 
     return run
 
 
-def link_edges(codes: DataFrame, distance: int, scratch: Scratch, most: int = MOST) -> DataFrame:
-    """Edges (a, b) between the ``rep`` ids of distinct ``code`` rows that span every class of linked codes."""
+def _gray(code: Column) -> Column:
+    """``gray_rank`` as an expression, shifted so that it sorts as a signed number."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
+    return code.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def index_classes(codes: DataFrame, masks: list[list[int]], distance: int, scratch: Scratch, most: int = MOST) -> DataFrame:
+    """(node, component) of the ``rep`` ids of distinct ``codes`` (rep, w0, w1, ...) that link under a common mask.
+
+    Nodes of up to ``most`` codes are searched as a whole. Under a larger one each code is first held against its
+    neighbours in Gray order; then only codes outside the node's largest class so far are held against all others, so a
+    group of near copies costs its size and not its square.
+    """
+    words = [c for c in codes.columns if c != "rep"]
+    w = len(words)
+    signed = [[m - (1 << 64) if m >> 63 else m for m in mask] for mask in masks]
+    tops = F.array(*[F.xxhash64(F.lit(k), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(words, mask, strict=True) if m]) for k, mask in enumerate(signed)])
+    nodes = codes.select("rep", *words, F.explode(tops).alias("node")).select("node", "rep", *words)
+    hot = scratch.write(nodes.groupBy("node").count().where(F.col("count") > most))
+    out = "a long, b long"
+    # Without the hot rows no node has over `most`; a table, so it is broadcast if it is small.
+    rest = nodes.join(hot.select("node"), "node", "left_anti").repartition("node").sortWithinPartitions("node")
+    edges = scratch.write(rest.mapInArrow(_links(distance, w), out))
+    if not hot.head(1):
+        return connected_components(edges, scratch)
+    rows = scratch.write(nodes.join(hot.select("node"), "node"))
+    ranged = rows.withColumn("gray", _gray(F.col(words[0]))).repartitionByRange("node", "gray").sortWithinPartitions("node", "gray")
+    edges = scratch.write(edges.unionByName(ranged.select("node", "rep", *words).mapInArrow(_neighbours(distance, w), out)))
+    classes = connected_components(edges, scratch)
+    known = scratch.write(rows.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    sizes = known.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.ceil(F.sum("n") / most).cast("int").alias("k"), F.count("*").alias("classes"))
+    open_ = scratch.write(sizes.where("classes > 1").drop("classes"))
+    apart = known.join(open_, "node")
+    every = apart.select("node", F.pmod(F.xxhash64("rep"), "k").cast("int").alias("part"), F.lit(0).alias("stray"), "rep", *words)
+    strays = apart.where("component <> main").select("node", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.lit(1).alias("stray"), "rep", *words)
+    dealt = every.unionByName(strays).repartition("node", "part").sortWithinPartitions("node", "part")
+    found = dealt.mapInArrow(_strays(distance, w), out)
+    return connected_components(edges.unionByName(found), scratch)
+
+
+def link_classes(codes: DataFrame, distance: int, scratch: Scratch, most: int = MOST) -> DataFrame:
+    """(node, component) of the ``rep`` ids of distinct ``code`` rows: the classes of codes that link."""
     n = codes.count()
     j = next(j for j in range(1, 5) if j == 4 or n >> min(w for _, w in segments(distance, j)) * j <= NODE)
-    masks = top_masks(distance, j)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tops = F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit(m)).alias("pattern")) for k, m in enumerate(signed)])
-    rows = codes.select("code", "rep", F.explode(tops).alias("top")).select(F.xxhash64("top.k", "top.pattern").alias("node"), "code", "rep")
-    dealt = split_hot(rows, "node", "code", most, scratch).select("node", "part_i", "part_j", "code", "rep")
-    dealt = dealt.repartition("node", "part_i", "part_j").sortWithinPartitions("node", "part_i", "part_j")
-    return dealt.mapInArrow(_links(distance), "a long, b long")
+    return index_classes(codes.select("rep", F.col("code").alias("w0")), [[m] for m in top_masks(distance, j)], distance, scratch, most)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
@@ -220,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = scratch.write(fingerprints(docs, id_col, text_col))
     codes = prints.where("doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("rep"))
     codes = scratch.write(codes)
-    classes = connected_components(link_edges(codes, distance, scratch), scratch)
+    classes = link_classes(codes, distance, scratch)
     roots = codes.join(classes, codes.rep == classes.node, "left").select("code", F.coalesce("component", "rep").alias("component_id"))
     roots = scratch.write(roots)
     return prints.join(roots, "code", "left").select("doc_id", hex16("code").alias("fingerprint"), "component_id")
@@ -278,61 +380,6 @@ def random_masks(rows: int) -> list[list[int]]:
     return out
 
 
-def _wide_links(distance: int):
-    """Rows (node, part_i, part_j, rep, w0..) sorted by the first three -> spanning edges of what links under a node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        count = 0
-
-        def add(a: np.ndarray, b: np.ndarray) -> None:
-            nonlocal found, count
-            found.append(np.stack([a, b]))
-            count += len(a)
-            if count > 2_000_000:
-                found = [np.stack(spanning(*np.concatenate(found, axis=1)))]
-                count = found[0].shape[1]
-
-        def groups(m: np.ndarray) -> None:
-            """Rows of whole groups."""
-            codes = m[4:].T.copy().view(np.uint64)
-            first = np.append(0, np.flatnonzero((np.diff(m[:3]) != 0).any(axis=0)) + 1)
-            sizes = np.diff(np.append(first, m.shape[1]))
-            for size in range(2, SMALL):  # small groups of one size at once
-                at = first[sizes == size][:, None]
-                if len(at):
-                    i, j = np.triu_indices(size, 1)
-                    a, b = (at + i).ravel(), (at + j).ravel()
-                    near = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1) <= distance
-                    add(m[3, a[near]], m[3, b[near]])
-            for at, size in zip(first[sizes >= SMALL], sizes[sizes >= SMALL], strict=True):
-                order = at + np.argsort(gray_rank(codes[at : at + size, 0]), kind="stable")
-                for a, b in linked_pairs(codes[order], distance):
-                    add(m[3, order[a]], m[3, order[b]])
-
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4 + WIDE)])
-            last = int(np.flatnonzero((m[:3] != m[:3, -1:]).any(axis=0))[-1] + 1) if (m[:3, 0] != m[:3, -1]).any() else 0
-            if last:
-                groups(np.concatenate([*held, m[:, :last]], axis=1))
-                held = [m[:, last:]]
-            elif held and (held[-1][:3, -1] != m[:3, 0]).any():
-                groups(np.concatenate(held, axis=1))
-                held = [m]
-            else:
-                held.append(m)
-        if held:
-            groups(np.concatenate(held, axis=1))
-        if found:
-            a, b = spanning(*np.concatenate(found, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return run
-
-
 def near_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", distance: int = APART, most: int = MOST) -> DataFrame:
     """(doc_id, component_id) of the rows of ``docs`` that have an id: the smallest id that links of near copies reach.
 
@@ -342,12 +389,8 @@ def near_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     read = scratch.write(rows.mapInArrow(_wide_prints, "doc_id long, set long, print array<long>"))
     reps = scratch.write(read.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("print").alias("print")))
     known = reps.where("print is not null")
-    masks = [[m - (1 << 64) if m >> 63 else m for m in mask] for mask in random_masks(known.count())]
-    tops = F.array(*[F.xxhash64(F.lit(k), *[F.col("print")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(mask) if m]) for k, mask in enumerate(masks)])
-    nodes = known.select("rep", *[F.col("print")[w].alias(f"w{w}") for w in range(WIDE)], F.explode(tops).alias("node"))
-    dealt = split_hot(nodes, "node", "rep", most, scratch).select("node", "part_i", "part_j", "rep", *[f"w{w}" for w in range(WIDE)])
-    dealt = dealt.repartition("node", "part_i", "part_j").sortWithinPartitions("node", "part_i", "part_j")
-    classes = connected_components(dealt.mapInArrow(_wide_links(distance), "a long, b long"), scratch)
+    codes = known.select("rep", *[F.col("print")[w].alias(f"w{w}") for w in range(WIDE)])
+    classes = index_classes(codes, random_masks(known.count()), distance, scratch, most)
     roots = scratch.write(reps.join(classes, reps.rep == classes.node, "left").select("set", F.coalesce("component", "rep").alias("component_id")))
     return read.select("doc_id", "set").join(roots, "set").select("doc_id", "component_id")
 

@@ -37,7 +37,7 @@ def test_hot_node(spark):
     base = int(rng.integers(1 << 62))
     codes = sorted({base ^ sum(1 << int(b) for b in rng.choice(60, 3, replace=False)) for _ in range(400)} | {int(x) for x in rng.integers(1 << 62, size=300)})
     rows = spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "code long, rep long")
-    found = connected_components(simhash.link_edges(rows, 4, Scratch(spark), most=50), Scratch(spark)).collect()
+    found = simhash.link_classes(rows, 4, Scratch(spark), most=50).collect()
     label = list(range(len(codes)))
     for i in range(len(codes)):
         for j in range(i):
