@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +49,19 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.DOTALL)
 
 
-def turn_tokens(role: str, text: str, path: str | None = None) -> tuple[np.ndarray, int, int]:
-    """Ids of a turn, and where its learned part begins and ends."""
+@lru_cache(maxsize=1024)
+def _around(role: str, path: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids before and behind a turn's text."""
     plain = tokens(path, plain=True)
-    head, body, end = plain.ids(escape_role(role) + "\n"), plain.ids(escape(text)), plain.ids("\n")
     start, stop = control_ids(plain)
-    a = 1 + len(head)
-    learned = (a, a + len(body)) if role == LEARNED else (0, 0)
-    return np.concatenate([[start], head, body, [stop], end]).astype("<i4"), *learned
+    return np.append(start, plain.ids(escape_role(role) + "\n")).astype("<i4"), np.append(stop, plain.ids("\n")).astype("<i4")
+
+
+def turn_tokens(role: str, body: np.ndarray, path: str | None = None) -> tuple[np.ndarray, int, int]:
+    """Ids of a turn whose escaped text has the ids ``body``, and where its learned part begins and ends."""
+    head, end = _around(role, path)
+    learned = (len(head), len(head) + len(body)) if role == LEARNED else (0, 0)
+    return np.concatenate([head, body.astype("<i4"), end]), *learned
 
 
 def control_ids(plain: Tokens) -> tuple[int, int]:
@@ -70,12 +76,14 @@ def _paths(path: str | None):
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
                 out = []
-                for turns in batch.column(1).to_pylist():
+                conversations = batch.column(1).to_pylist()
+                bodies = iter(tokens(path, plain=True).batch([escape(t["text"]) for turns in conversations for t in turns]))
+                for turns in conversations:
                     name, nodes = b"", []
                     for t in turns:
                         role, text = t["role"], t["text"]
                         name = hashlib.blake2b(b"%s%d\n%s\n%s" % (name, len(role), role.encode(), text.encode()), digest_size=16).digest()
-                        ids, a, b = turn_tokens(role, text, path)
+                        ids, a, b = turn_tokens(role, next(bodies), path)
                         nodes.append({"key": name, "size": len(ids), "tokens": ids.tobytes(), "loss_from": a, "loss_to": b})
                     out.append(nodes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["conv_id", "nodes"])
@@ -191,11 +199,13 @@ def _digests(path: str | None):
                     turns, learned, loss, chars = hashlib.sha256(), hashlib.sha256(), 0, 0
                     for n in nodes:
                         ids = np.frombuffer(n["tokens"], "<i4")
-                        shown = decode(ids)
+                        a, b = n["loss_from"], n["loss_to"]
+                        masked = decode(ids[a:b])
+                        shown = decode(ids[:a]) + masked + decode(ids[b:])
                         chars += len(shown)
                         m = turn.fullmatch(shown)
                         turns.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
-                        text = unescape(decode(ids[n["loss_from"] : n["loss_to"]]))
+                        text = unescape(masked)
                         learned.update(text.encode())
                         loss += len(text)
                     out.append((conv, len(nodes), turns.hexdigest(), loss, learned.hexdigest(), chars))
