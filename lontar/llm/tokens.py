@@ -2,8 +2,8 @@
 
 A text is cut before each space that stands between two characters that no version of Unicode counts as white space.
 Byte-level tokenizers never let a token run across such a place, so a part's ids don't depend on what is around it,
-and parts that return are looked up rather than tokenised again. Every id comes from the tokenizer itself; runs of
-white space and anything else unusual stay uncut within a part.
+and parts that return are looked up rather than tokenised again; so are marks behind a letter, which never join it either.
+Every id comes from the tokenizer itself; runs of white space and anything else unusual stay uncut within a part.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ import numpy as np
 _SAFE = "!-~¡-ᙿ、-퟿"
 #: A space between two characters that are surely none.
 _CUT = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
+#: Anything but these characters, spaces and line ends; a text without it is cut without a pattern.
+_ODD = re.compile(f"[^{_SAFE} \n]")
+_MARKS = ",.;:!?)"
 _SAFE_END = re.compile(f"[{_SAFE}]\\Z")
 #: Parts remembered at most, and characters of one at most.
 _HELD, _LONG = 1_500_000, 32
@@ -33,6 +36,7 @@ class Tokens:
         self.own.encode_special_tokens = plain
         self.size = self.own.get_vocab_size()
         self.parts: dict[str, bytes] = {}  # ids of a space and a part, as little-endian 32-bit numbers
+        self.marks: dict[str, bytes] = {}
         self.widths = np.array([len(b) for b in self.bytes_of])
 
     def _encoded(self, text: str) -> np.ndarray:
@@ -40,14 +44,30 @@ class Tokens:
 
     def _learn(self, fresh: list[str]) -> None:
         """Tokenise parts one behind the other, and tell their ids apart by the bytes that these stand for."""
-        ids = self._encoded(" " + " ".join(fresh))
-        ends = np.cumsum([len(p.encode()) + 1 for p in fresh])
-        cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
-        raw = memoryview(ids.tobytes())
-        at = 0
-        for part, stop in zip(fresh, (4 * cuts).tolist(), strict=True):
-            self.parts[part] = bytes(raw[at:stop])
-            at = stop
+        ends_in = {p: p.rstrip(_MARKS) for p in fresh if p[-1] in _MARKS}
+        ends_in = {p: base for p, base in ends_in.items() if base and base[-1].isascii() and base[-1].isalpha()}
+        whole = [p for p in dict.fromkeys([*(p for p in fresh if p not in ends_in), *ends_in.values()]) if p not in self.parts]
+        if whole:
+            ids = self._encoded(" " + " ".join(whole))
+            ends = np.cumsum([len(p.encode()) + 1 for p in whole])
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+            raw = memoryview(ids.tobytes())
+            at = 0
+            for part, stop in zip(whole, (4 * cuts).tolist(), strict=True):
+                self.parts[part] = bytes(raw[at:stop])
+                at = stop
+        for part, base in ends_in.items():
+            mark = part[len(base) :]
+            if mark not in self.marks:
+                self.marks[mark] = self._encoded(mark).tobytes()
+            self.parts[part] = self.parts[base] + self.marks[mark]
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Parts of ``text``: the first as it stands, the others behind a space."""
+        if _ODD.search(text) or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+            return _CUT.split(text)
+        return text.split(" ")
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of ``text`` as 32-bit numbers."""
@@ -55,30 +75,27 @@ class Tokens:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """``ids`` of each text."""
-        cut = [_CUT.split(t) for t in texts]
-        if len(self.parts) > _HELD:
+        if len(self.parts) > _HELD or len(self.marks) > _HELD:
             self.parts.clear()
-        fresh: set[str] = set()
-        for parts in cut:
+            self.marks.clear()
+        look, out, fresh = self.parts.get, [], {}
+        for text in texts:
+            first, *rest = self.cut(text)
             # What ends a text may end in white space, which must not get a neighbour.
-            fresh.update(parts[1:-1] if len(parts) > 1 and not _SAFE_END.search(parts[-1]) else parts[1:])
-        fresh.difference_update(self.parts)
+            last = self._encoded(" " + rest.pop()).tobytes() if rest and not _SAFE_END.search(rest[-1]) else b""
+            found = list(map(look, rest))
+            if None in found:
+                fresh.update((p, None) for p, f in zip(rest, found, strict=True) if f is None)
+            out.append((self._encoded(first).tobytes(), rest, found, last))
         if fresh:
             self._learn(list(fresh))
-        out = []
-        for first, *rest in cut:
-            found = [self._encoded(first).tobytes()]
-            if rest and not _SAFE_END.search(rest[-1]):
-                last = self._encoded(" " + rest.pop()).tobytes()
-                found += map(self.parts.__getitem__, rest)
-                found.append(last)
-            else:
-                found += map(self.parts.__getitem__, rest)
-            out.append(np.frombuffer(b"".join(found), "<u4"))
+        known = self.parts.__getitem__
+        ids = [np.frombuffer(b"".join([first, *(map(known, rest) if None in found else found), last]), "<u4") for first, rest, found, last in out]
         for part in fresh:
             if len(part) > _LONG:
-                del self.parts[part]
-        return out
+                self.parts.pop(part)
+                self.parts.pop(part.rstrip(_MARKS), None)
+        return ids
 
     @property
     def bytes_of(self) -> list[bytes]:
