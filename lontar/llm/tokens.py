@@ -93,7 +93,7 @@ class Tokens:
         ids = [np.frombuffer(b"".join([first, *(map(known, rest) if None in found else found), last]), "<u4") for first, rest, found, last in out]
         for part in fresh:
             if len(part) > _LONG:
-                self.parts.pop(part)
+                self.parts.pop(part, None)
                 self.parts.pop(part.rstrip(_MARKS), None)
         return ids
 

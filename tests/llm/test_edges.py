@@ -415,8 +415,12 @@ def test_ids_are_the_tokenizers(spark):
 
     from lontar.llm.tokens import tokens
 
+    long = ["a " + "b" * 50 + ". " + "b" * 50 + " " + "b" * 50 + "... c", "x " + "y" * 40 + "!! " + "y" * 40, "it's, don't! (so) <|endoftext|>. end."]
+    for t in (tokens(), tokens(None, True)):
+        for _ in range(2):
+            assert [x.tolist() for x in t.batch(long)] == [t.own.encode(x, add_special_tokens=False).ids for x in long]
     random.seed(4)
-    alphabet = [*" \t\n\r\x85\xa0\u1680\u2003\u3000\x1c\u180e\u200b'sl0aé你.\u0301\U0001f600", "<|endoftext|>", "  ", " '", "'ll "]
+    alphabet = [*" \t\n\r\x85\xa0\u1680\u2003\u3000\x1c\u180e\u200b'sl0aé你.\u0301\U0001f600", "<|endoftext|>", "  ", " '", "'ll ", "a. ", "b!? "]
     for plain in (False, True):
         t = tokens(None, plain)
         for _ in range(3000):
