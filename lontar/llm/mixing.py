@@ -28,8 +28,8 @@ LIFT, SPREAD = 8.0, 0.02
 #: Posteriors are multiples of 1/STEPS.
 STEPS = 256
 #: Rounds at most, share of the total by which targets may be missed, and by which totals may still move at the end.
-ROUNDS = 300
-TOLERANCE = 1e-5
+ROUNDS = 100
+TOLERANCE, STILL = 1e-4, 1e-6
 #: Rounds after which rates are written, so that what is computed in a round doesn't grow.
 WRITTEN = 25
 
@@ -113,51 +113,71 @@ def with_posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]],
     return rows.withColumn(p, F.transform(p, lambda x, i: (x + F.when(i == first, rest).otherwise(0.0)) / STEPS)).drop(z)
 
 
-def _stepped(rate: Column, history: list[list[float]], most: float) -> Column:
-    """``rate`` of posterior ``p`` after steps along ``history``, each a scaled residual by domain."""
+def _stepped(state: Column, history: list[tuple[list[float], float]], most: float) -> Column:
+    """``state`` (rate, point) of posterior ``p`` after steps along ``history``: scaled residuals by domain at the point,
+    and how far the next point goes on beyond the rate."""
     if not history:
-        return rate
-    steps = F.array(*[_doubles(h) for h in history])
-    inner = lambda h: F.aggregate(F.zip_with("p", h, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, rate, lambda r, h: F.greatest(F.lit(0.0), F.least(F.lit(most), r - inner(h))))
+        return state
+    steps = F.array(*[F.struct(_doubles(h).alias("h"), F.lit(beta).alias("beta")) for h, beta in history])
+
+    def step(s: Column, x: Column) -> Column:
+        inner = F.aggregate(F.zip_with("p", x["h"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(most), s["point"] - inner))
+        return F.struct(rate.alias("rate"), (rate + x["beta"] * (rate - s["rate"])).alias("point"))
+
+    return F.aggregate(steps, state, step)
 
 
 def fit_rates(cells: DataFrame, weights: list[float], scratch: Scratch, total: float | None = None, most: float = 4.0) -> DataFrame:
-    """``cells`` (p, n_tokens) with their ``rate`` after projected gradient descent.
+    """``cells`` (p, n_tokens) with their ``rate`` after projected gradient descent with momentum, which starts anew
+    whenever the sum of squares grows.
 
     Targets are ``total`` times ``weights``; by default the total at which the largest domain keeps its tokens. Descent
     ends when targets are met or totals no longer move, as where ``most`` keeps them out of reach; a warning tells if
-    neither came about within ``ROUNDS``.
+    neither came about within ``ROUNDS``. Totals are linear in the rates, so one aggregate a round gives both those of
+    the rates and those of the next point.
     """
     k = len(weights)
-    rated = scratch.write(cells.select("p", "n_tokens", F.lit(1.0).alias("rate")))
+    started = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point")).alias("state")
+    rated = scratch.write(cells.select("p", "n_tokens", started))
 
-    def sums(history: list[list[float]]) -> list[float]:
-        now = rated.select("p", "n_tokens", _stepped(F.col("rate"), history, most).alias("r"))
+    def sums(history: list[tuple[list[float], float]]) -> list[float]:
+        now = rated.select("p", "n_tokens", _stepped(F.col("state"), history, most)["rate"].alias("r"))
         row = now.agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
         return [x or 0.0 for x in row]
 
-    mass = sums([])
+    now = mass = sums([])
     top = max(range(k), key=lambda i: mass[i])
     total = total if total is not None else mass[top] / (weights[top] or 1.0)
     target = [w * total for w in weights]
-    history: list[list[float]] = []
-    before = None
-    for step in range(ROUNDS + 1):
-        now = sums(history)
-        missed = max((abs(s - t) for s, t, m in zip(now, target, mass, strict=True) if m > 0), default=0.0)
-        moved = max((abs(s - t) for s, t in zip(now, before, strict=True)), default=0.0) if before else missed
-        if missed <= TOLERANCE * total or moved <= 0.01 * TOLERANCE * total:
+
+    def squares(s: list[float]) -> float:
+        return sum((x - t) ** 2 / m for x, t, m in zip(s, target, mass, strict=True) if m > 0)
+
+    def missed(s: list[float]) -> float:
+        return max((abs(x - t) for x, t, m in zip(s, target, mass, strict=True) if m > 0), default=0.0)
+
+    history: list[tuple[list[float], float]] = []
+    point, age = now, 0
+    for _ in range(ROUNDS):
+        if missed(now) <= TOLERANCE * total:
             break
-        if step == ROUNDS:
-            warnings.warn(f"rates still move after {ROUNDS} rounds: the largest residual is {missed:.0f} tokens", stacklevel=2)
+        scaled = [(s - t) / m if m > 0 else 0.0 for s, t, m in zip(point, target, mass, strict=True)]
+        after = sums([*history, (scaled, 0.0)])
+        age = 0 if squares(after) > squares(now) else age + 1
+        beta = age / (age + 3)
+        history.append((scaled, beta))
+        moved = max((abs(a - b) for a, b in zip(after, now, strict=True)), default=0.0)
+        point = [a + beta * (a - b) for a, b in zip(after, now, strict=True)]
+        now = after
+        if moved <= STILL * total:
             break
-        before = now
-        history.append([(s - t) / m if m > 0 else 0.0 for s, t, m in zip(now, target, mass, strict=True)])
         if len(history) == WRITTEN:
-            rated = scratch.write(rated.select("p", "n_tokens", _stepped(F.col("rate"), history, most).alias("rate")))
+            rated = scratch.write(rated.select("p", "n_tokens", _stepped(F.col("state"), history, most).alias("state")))
             history = []
-    return scratch.write(rated.select("p", "n_tokens", _stepped(F.col("rate"), history, most).alias("rate")))
+    else:
+        warnings.warn(f"rates still move after {ROUNDS} rounds: the largest residual is {missed(now):.0f} of {total:.0f} tokens", stacklevel=2)
+    return scratch.write(rated.select("p", "n_tokens", _stepped(F.col("state"), history, most)["rate"].alias("rate")))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, most: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
