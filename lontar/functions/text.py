@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 WORD = r"[\p{L}\p{N}_]"
 #: Leading question and function words that don't name an entity.
 QUERY_STOPWORDS = ["Apa", "Siapa", "Kapan", "Mengapa", "Bagaimana", "Berapa", "Mana", "Di", "Dari", "Ke", "Yang", "Pada", "Untuk", "Dengan", "Dalam", "Adalah", "Akan", "Itu", "Ini"]
-#: Fixed value: what counts as a run of capitalised words.
-_ENTITY = r"(?<![\p{L}\p{N}_])[A-Z](?:[\p{L}\p{N}_]|[À-ÿ])*(?:\s+[A-Z](?:[\p{L}\p{N}_]|[À-ÿ])*)*"
+#: Fixed value: what counts as a run of capitalised words. Repetitions are possessive: nothing behind them could use what
+#: they give back, and a repeated group that may give back costs a stack frame of the JVM a character.
+_CAPITALISED = r"[A-Z][\p{L}\p{N}_À-ÿ]*+"
+_ENTITY = rf"(?<!{WORD}){_CAPITALISED}(?:\s++{_CAPITALISED})*+"
 _SENTENCE = r"[^.!?]+[.!?]?"
 
 

@@ -126,3 +126,11 @@ def test_repeated_and_stemmed_query_terms(spark):
     asked = spark.createDataFrame([(1, "Di rumahkah")], "query_id long, text string")
     assert bm25(asked, docs).count() == 0
     assert [r.doc_id for r in bm25(asked, docs, analyzer=stemming_analyzer()).collect()] == [3]
+
+
+@pytest.mark.parametrize("name", ["S" + "a" * 50_000, " ".join(["Su"] * 20_000)], ids=["word", "run"])
+def test_long_names(spark, name):
+    """A capitalised word, or a run of them, as long as a text."""
+    known = F.array(F.lit("pidato"))
+    assert one(spark, f"{name} datang. Pidatonya terkenal.", lambda c: X.resolved(c, known)) == f"{name} datang. Pidato {name} terkenal."
+    assert one(spark, name, X.query_entity) == name
