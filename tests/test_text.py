@@ -134,3 +134,10 @@ def test_long_names(spark, name):
     known = F.array(F.lit("pidato"))
     assert one(spark, f"{name} datang. Pidatonya terkenal.", lambda c: X.resolved(c, known)) == f"{name} datang. Pidato {name} terkenal."
     assert one(spark, name, X.query_entity) == name
+
+
+def test_occurrences_behind_long_names(spark):
+    """What is found behind a run of capitalised words as long as a text has the whole run for antecedent."""
+    name = "SUKARNO HATTA " * 5_000
+    found = one(spark, f"{name}datang. Pidatonya terkenal. Bukunya laris.", lambda c: X.occurrences(c, F.array(F.lit("pidato"), F.lit("buku"))))
+    assert [(o.token, o.antecedent, o.function) for o in found] == [("Pidatonya", name[:-1], "anaphoric"), ("Bukunya", name[:-1], "anaphoric")]
