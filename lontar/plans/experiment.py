@@ -15,7 +15,7 @@ from lontar.functions import text as X
 from lontar.operators.evaluation import metrics
 from lontar.operators.retrieval import Analyzer, bm25, hashed_encoder, nearest
 from lontar.operators.statistics import tertile_cuts
-from lontar.session import shared_dir
+from lontar.session import removed, shared_dir, stored
 
 
 class Strategy(str, Enum):
@@ -119,19 +119,26 @@ def prepared_pair(queries: DataFrame, docs: DataFrame, strategy: str, roots: Dat
 def evaluate_matrix(queries: DataFrame, docs: DataFrame, judgments: DataFrame, roots: DataFrame | None, names: tuple[str, ...] = ("bm25", "dense"), strategies: tuple[str, ...] | None = None, suffix: str = "nya", hits: int = 1000, cutoffs: tuple[int, ...] = (1, 10, 100), given: dict[str, Retriever] | None = None, folder: str | None = None) -> DataFrame:
     """query_id, condition and metrics of each strategy x retriever.
 
-    Each strategy's corpus is written once and read by all retrievers; nothing is cached. ``given`` adds retrievers to
-    ``retrievers``' own or replaces them; the dense one's encoder is a stand-in otherwise.
+    Each strategy's corpus is written once and read by all retrievers; nothing is cached. Judgments are made once, and a
+    strategy's metrics are written before the next corpus, so that one corpus is there at a time; in a ``folder`` that
+    is given they all stay. ``given`` adds retrievers to ``retrievers``' own or replaces them; the dense one's encoder is
+    a stand-in otherwise.
     """
+    kept = folder is not None
     folder = folder or f"{shared_dir(docs.sparkSession)}/lontar-matrix-{uuid.uuid4().hex}"
     known = retrievers(folder) | (given or {})
     if missing := set(names) - set(known):
         raise BadInput(f"unknown retrievers {', '.join(sorted(missing))}")
+    judgments = stored(judgments)
+    roots = stored(roots) if roots is not None else None
     out = None
     for strategy in strategies or [s.value for s in Strategy]:
         q, d = prepared_pair(queries, docs, strategy, roots, folder, suffix)
         for name in names:
-            one = metrics(judgments, known[name](q, d, hits), cutoffs, f"{name}__{strategy}")
+            one = stored(metrics(judgments, known[name](q, d, hits), cutoffs, f"{name}__{strategy}"))
             out = one if out is None else out.unionByName(one)
+        if not kept:
+            removed(docs.sparkSession, folder)
     return out
 
 

@@ -133,3 +133,22 @@ def test_containment(spark):
     queries = spark.createDataFrame([(1, "aa bb cc dd ee ff"), (2, "cc dd"), (3, "no such text in here"), (4, "b cc d")], "query_id long, text string")
     docs = spark.createDataFrame([(1, "xaa bb cc dd ee ffy"), (2, "aa bb cc"), (3, "cc dd")], "doc_id long, text string")
     assert sorted(tuple(r) for r in E.containment_judgments(queries, docs).collect()) == [(1, 1, 1), (2, 1, 1), (2, 3, 1), (4, 1, 1)]
+
+
+def test_matrix_moves_words_once_and_keeps_one_corpus(spark):
+    """Scores are summed where a document's words lie, and a strategy's corpus goes when its metrics are there."""
+    import glob
+
+    from lontar.operators.retrieval import bm25
+    from lontar.plans.experiment import evaluate_matrix
+    from lontar.session import shared_dir
+
+    docs = spark.createDataFrame([(i, f"rumahnya besar {'Sukarno' if i % 2 else 'Hatta'} datang kemari {i}") for i in range(20)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "Sukarno datang kemari"), (2, "besar Hatta datang kemari")], "query_id long, text string")
+    plan = bm25(queries, docs)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line and "doc_id" in line]
+    top = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{top}/lontar-matrix-*"))
+    out = evaluate_matrix(queries, docs, E.containment_judgments(queries, docs), None, strategies=("keep", "sentinel"), hits=5)
+    assert sorted((r.condition, r.query_id, r.recall_100) for r in out.collect()) == [(f"{n}__{s}", q, 0.5) for n in ("bm25", "dense") for s in ("keep", "sentinel") for q in (1, 2)]
+    assert set(glob.glob(f"{top}/lontar-matrix-*")) == before
