@@ -218,7 +218,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total
     model, _, rates, _ = _rated(docs, labelled, weights, total, most, id_col, text_col)
     p, n, rate, copies = (free_name(docs, name) for name in ("_p", "_n", "_rate", "_copies"))
     rows = with_posteriors(docs, model, F.col(f"`{text_col}`"), p, n).drop(n)
-    rated = rows.join(rates.select(F.col("p").alias(p), F.col("rate").alias(rate)), p)
+    # Every posterior has a rate. An inner join would put "p is not null" beneath the steps that make p, all in one formula.
+    rated = rows.join(rates.select(F.col("p").alias(p), F.col("rate").alias(rate)), p, "left")
     key = F.col(f"`{id_col}`").cast("long")
     rated = rated.withColumn(copies, F.when(key.isNull(), 1).otherwise(_copies(rate, key)))
     kept = rated.where(F.col(copies) >= 1)

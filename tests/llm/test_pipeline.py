@@ -106,3 +106,15 @@ def test_near_copies_beyond_simhash(spark):
     out = corpus_pipeline.near_dedup(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.rep for r in out.collect()) == [1, 3, 5, 7]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_mixed_makes_posteriors_in_steps(spark):
+    """No filter holds the whole formula of a posterior, in which each step stands several times."""
+    from lontar.llm.mixing import mixed
+
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad words here") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(40)], "doc_id long, domain string")
+    out = mixed(docs, labels, {"a": 0.5, "b": 0.5})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(transform" not in plan
+    assert out.count() == 40
