@@ -72,3 +72,22 @@ def test_chains_are_collinear(matches):
     for chain in chaining.chains(x, y):
         for (a, b, n), (c, d, _) in zip(chain, chain[1:], strict=False):
             assert a + n <= c and b + n <= d
+
+
+def test_closer_takes_words_said_often(monkeypatch):
+    """A passage all of whose K-mers stand over MOST times in both sides, with a word more in one; listed or by diagonals."""
+    import numpy as np
+
+    from lontar.llm import chaining as C
+
+    rng = np.random.default_rng(4)
+    unit = rng.integers(0, 1 << 16, 6).astype("<u2")
+    core = np.tile(unit, 30)
+    ends = [rng.integers(0, 1 << 16, 40).astype("<u2") for _ in range(4)]
+    wx = np.concatenate([ends[0], core, ends[1]])
+    wy = np.concatenate([ends[2], core[:90], ends[3][:1], core[90:], ends[3]])
+    found = C.closer(wx, wy)
+    assert max(min(x1 - x0, y1 - y0) for x0, x1, y0, y1 in found) >= 180
+    monkeypatch.setattr(C, "MATCHES", 10)
+    assert sorted(C.closer(wx, wy)) == sorted(found)
+    assert not C.closer(wx, np.concatenate(ends))
