@@ -91,9 +91,10 @@ def with_known(df: DataFrame, roots: DataFrame, candidates: Column, key: str, na
     """``df`` with array ``name``: those of a row's candidates that are in ``roots`` (column root). ``key`` is unique.
 
     Candidates, not texts, are joined to the dictionary, so its size is no matter; Spark broadcasts it if it is small.
+    Its roots aren't made distinct first: behind such a step Spark doesn't divide the rows of a frequent stem.
     """
     lookups = df.select(key, F.explode(candidates).alias("_root"))
-    found = lookups.join(roots.select(F.lower("root").alias("_root")).distinct(), "_root", "left_semi")
+    found = lookups.join(roots.select(F.lower("root").alias("_root")), "_root", "left_semi")
     sets = found.groupBy(key).agg(F.collect_set("_root").alias(name))
     return df.join(sets, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
@@ -124,12 +125,29 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _cut(text: Column, word: str, suffix: str, window: int, hosts: Column | None = None) -> Column:
+def _named(sentence: Column, suffix: str) -> Column:
+    """What ``antecedent`` can still see of a sentence that may go on: its first run of capitalised words that doesn't end
+    with the suffix; before there is one, a run at its end, which may grow. A comma stands for all the rest."""
+    bare = F.rtrim(sentence, F.lit(" \t\n\x0b\f\r"))
+    stop = F.regexp_extract(sentence, r"[.!?]$", 0)
+
+    def core(runs: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        grows = F.coalesce(bare.endswith(last) & ~F.substring(bare, -F.length(last) - 1, F.lit(1)).rlike(WORD), F.lit(False))
+        first = F.get(F.filter(F.when(grows, F.slice(runs, 1, F.size(runs) - 1)).otherwise(runs), lambda e: ~F.lower(e).endswith(suffix)), 0)
+        end = F.when(grows, F.right(sentence, F.length(last) + F.length(sentence) - F.length(bare))).otherwise(F.lit(","))
+        return F.coalesce(F.concat(first, F.lit(",")), end)
+
+    return F.when(sentence.rlike(r"(?U)\S"), F.concat(_let(entities(sentence), core), stop)).otherwise(sentence)
+
+
+def _cut(text: Column, word: str, suffix: str, window: int, hosts: Column | None = None, names_only: bool = False) -> Column:
     """``text`` cut before each word of class ``word`` that ends with the suffix: array of (piece, left, at). With
     ``hosts`` (lower-cased letters) only words that have one of them before the suffix count.
 
     left is what stands before the piece, as far back as ``window`` + 1 sentences that aren't blank (all of it if
-    ``window`` isn't positive), so that a long text costs its length and not its square; at is the piece's offset.
+    ``window`` isn't positive), so that a long text costs its length and not its square; at is the piece's offset. With
+    ``names_only`` these sentences hold what ``antecedent`` needs, so that a long sentence costs its length too.
     """
     if hosts is None:
         pieces = F.split(text, rf"(?i)(?<!{WORD})(?={word}+{suffix}(?!{WORD}))")
@@ -139,7 +157,8 @@ def _cut(text: Column, word: str, suffix: str, window: int, hosts: Column | None
 
     def trimmed(chunks: Column) -> Column:
         filled = F.filter(F.sequence(F.lit(0), F.size(chunks)), lambda i: F.trim(F.coalesce(F.get(chunks, i), F.lit(""))) != "")
-        return _let(filled, lambda f: F.array_join(F.when(F.size(f) > window, F.slice(chunks, F.get(f, F.size(f) - window - 1) + 1, F.size(chunks))).otherwise(chunks), ""))
+        last = _let(filled, lambda f: F.when(F.size(f) > window, F.slice(chunks, F.get(f, F.size(f) - window - 1) + 1, F.size(chunks))).otherwise(chunks))
+        return F.array_join(F.transform(last, lambda s: _named(s, suffix)) if names_only else last, "")
 
     def step(state: Column, piece: Column) -> Column:
         whole = F.concat(state["tail"], piece)
@@ -150,12 +169,8 @@ def _cut(text: Column, word: str, suffix: str, window: int, hosts: Column | None
     return F.aggregate(pieces, start, step, lambda state: state["out"])
 
 
-def occurrences(text: Column, known: Column, suffix: str = "nya", window: int = 2, tagger: Callable[[Column], Column] | None = None) -> Column:
-    """Clitic occurrences whose root is known: array of (start, stop, token, host, root, antecedent, function).
-
-    The context of an occurrence is all text to its left. function: nominaliser where ``tagger`` (from a root to its
-    part of speech) says VERB, else anaphoric with an antecedent, else possessive.
-    """
+def _detected(text: Column, known: Column, suffix: str, window: int, tagger: Callable[[Column], Column] | None) -> Column:
+    """The pieces of ``text`` in their order: array of (piece, o), where o is null or the occurrence it begins with."""
     shape = rf"(?i)^(([A-Za-zÀ-ÿ]+){suffix})(?!{WORD})"
 
     def one(c: Column) -> Column:
@@ -167,22 +182,28 @@ def occurrences(text: Column, known: Column, suffix: str = "nya", window: int =
                 kind = F.when(tagger(host) == "VERB", "nominaliser").otherwise(kind)
             return F.struct(c["at"].alias("start"), (c["at"] + F.length(token)).alias("stop"), token.alias("token"), host.alias("host"), host.alias("root"), found.alias("antecedent"), kind.alias("function"))
 
-        return _let(antecedent(c["left"], suffix, window), labelled)
+        return F.struct(c["piece"].alias("piece"), F.when(F.array_contains(known, F.lower(host)), _let(antecedent(c["left"], suffix, window), labelled)).alias("o"))
+
+    return F.transform(_cut(text, "[A-Za-zÀ-ÿ]", suffix, window, known, names_only=True), one)
+
 
-    clitics = F.filter(_cut(text, "[A-Za-zÀ-ÿ]", suffix, window, known), lambda c: F.array_contains(known, F.lower(F.regexp_extract(c["piece"], shape, 2))))
-    return F.transform(clitics, one)
+def occurrences(text: Column, known: Column, suffix: str = "nya", window: int = 2, tagger: Callable[[Column], Column] | None = None) -> Column:
+    """Clitic occurrences whose root is known: array of (start, stop, token, host, root, antecedent, function).
+
+    The context of an occurrence is all text to its left. function: nominaliser where ``tagger`` (from a root to its
+    part of speech) says VERB, else anaphoric with an antecedent, else possessive.
+    """
+    return F.transform(F.filter(_detected(text, known, suffix, window, tagger), lambda d: d["o"].isNotNull()), lambda d: d["o"])
 
 
 def resolved(text: Column, known: Column, suffix: str = "nya", window: int = 2, tagger: Callable[[Column], Column] | None = None) -> Column:
     """Each anaphoric occurrence gives way to its root and antecedent; a text without known roots stays as it is."""
-    found = F.filter(occurrences(text, known, suffix, window, tagger), lambda o: o["function"] == "anaphoric")
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
-    def step(state: Column, o: Column) -> Column:
-        done = F.concat(state["done"], F.substring(text, state["at"] + 1, o["start"] - state["at"]), o["root"], F.lit(" "), o["antecedent"])
-        return F.struct(done.alias("done"), o["stop"].alias("at"))
+    def written(d: Column) -> Column:
+        rest = F.substring(d["piece"], F.length(d["o"]["token"]) + 1, F.length(d["piece"]))
+        return F.when(d["o"]["function"] == "anaphoric", F.concat(d["o"]["root"], F.lit(" "), d["o"]["antecedent"], rest)).otherwise(d["piece"])
 
-    whole = F.aggregate(found, start, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
+    whole = F.array_join(F.transform(_detected(text, known, suffix, window, tagger), written), "")
     return F.when(F.size(known) == 0, text).otherwise(whole)
 
 
@@ -191,14 +212,14 @@ def count_suffix(text: Column, suffix: str = "nya") -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(rf"(?iu)(?<!{WORD}){WORD}+{suffix}(?!{WORD})"), F.lit(0)))
 
 
-def _lefts(text: Column, suffix: str, window: int) -> Column:
-    clitics = F.filter(_cut(text, WORD, suffix, window), lambda c: c["piece"].rlike(rf"(?i)^{WORD}+{suffix}(?!{WORD})"))
+def _lefts(text: Column, suffix: str, window: int, names_only: bool = False) -> Column:
+    clitics = F.filter(_cut(text, WORD, suffix, window, names_only=names_only), lambda c: c["piece"].rlike(rf"(?i)^{WORD}+{suffix}(?!{WORD})"))
     return F.transform(clitics, lambda c: c["left"])
 
 
 def count_anaphoric(text: Column, suffix: str = "nya", window: int = 2) -> Column:
     """Suffixed words with an antecedent in their window, whatever their root."""
-    return F.size(F.filter(_lefts(text, suffix, window), lambda left: antecedent(left, suffix, window).isNotNull()))
+    return F.size(F.filter(_lefts(text, suffix, window, names_only=True), lambda left: antecedent(left, suffix, window).isNotNull()))
 
 
 def entity_referenced(text: Column, entity: Column, suffix: str = "nya", window: int = 2) -> Column:

@@ -141,3 +141,26 @@ def test_occurrences_behind_long_names(spark):
     name = "SUKARNO HATTA " * 5_000
     found = one(spark, f"{name}datang. Pidatonya terkenal. Bukunya laris.", lambda c: X.occurrences(c, F.array(F.lit("pidato"), F.lit("buku"))))
     assert [(o.token, o.antecedent, o.function) for o in found] == [("Pidatonya", name[:-1], "anaphoric"), ("Bukunya", name[:-1], "anaphoric")]
+
+
+def test_long_sentence(spark):
+    """A sentence as long as a text: what is kept to the left of an occurrence doesn't grow with it."""
+    text = "hujan, " * 50 + "Sukarno Hatta, " + "Kenya datang dan pidatonya terkenal, " * 2_000
+    lefts = one(spark, text, lambda c: F.transform(X._cut(c, "[A-Za-zÀ-ÿ]", "nya", 2, F.array(F.lit("pidato")), names_only=True), lambda p: p["left"]))
+    assert len(lefts) == 2_001 and max(map(len, lefts)) < 50
+    found = one(spark, text, lambda c: X.occurrences(c, F.array(F.lit("pidato"))))
+    assert len(found) == 2_000 and {o.antecedent for o in found} == {"Sukarno Hatta"}
+    assert {text[o.start : o.stop] for o in found} == {"pidatonya"}
+
+
+def test_names_are_those_of_the_whole_left_side(spark):
+    """Runs that an occurrence ends, that go on behind it, that end with the suffix or only look like the last one."""
+    import random
+
+    random.seed(7)
+    words = ["Sukarno", "Hatta  Muda", "Muda\n", "pidatonya", "Pidatonya", "BUKUNYA", "hujan", "anaKenya", "Kenya", ".", "...", "!", "\n", "\t", ",", "(Kota", "9B", "é"]
+    rows = [(i, "".join(w + random.choice(["", " ", "\n"]) for w in random.choices(words, k=random.randrange(1, 50)))) for i in range(300)]
+    known = ["pidato", "buku", "ken", "hattapidato"]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("known", F.array(*map(F.lit, known)))
+    got = {r.id: r.out for r in df.select("id", X.resolved(F.col("t"), F.col("known")).alias("out")).collect()}
+    assert all(got[i] == reference_resolved(t, known) for i, t in rows)
